@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Characters Python treats as white space, spelled for Java and RE2.
 SPACE = r"[\s\x0B\x1c-\x1f\x85\p{Z}]"
@@ -15,6 +15,20 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def unnest(df: DataFrame, keep: list, array: Column, name: str, pos: str = None) -> DataFrame:
+    """One row per element of ``array``, next to the ``keep`` columns.
+
+    A plain explode makes Spark add a filter on the array's size and push it
+    below every projection, so the array would be computed twice.  The outer
+    form with a filter on its output does not.
+    """
+    if pos is None:
+        rows = df.select(*keep, F.explode_outer(array).alias(name))
+    else:
+        rows = df.select(*keep, F.posexplode_outer(array).alias(pos, name))
+    return rows.where(F.col(name).isNotNull())
+
+
 def empty_strings() -> Column:
     return F.array().cast("array<string>")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from labelloom.functions.arrays import unnest
 from labelloom.operators.features import require_columns
 from labelloom.plans.scratch import materialize
 
@@ -112,7 +113,7 @@ def coverage(df: DataFrame) -> DataFrame:
 
 def scores(df: DataFrame) -> DataFrame:
     require_columns(df, "insurance_label_scores")
-    return df.select(F.explode("insurance_label_scores").alias("score"))
+    return unnest(df, [], F.col("insurance_label_scores"), "score")
 
 
 def exact_median(values: DataFrame, column: str, slices: int = 2000, small: int = 20_000) -> float | None:

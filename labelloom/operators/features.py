@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelloom.functions import lexicons
 from labelloom.functions.arrays import (
-    SPACE, WORD, empty_strings, ngrams, vector_tokens, words,
+    SPACE, WORD, empty_strings, ngrams, unnest, vector_tokens, words,
 )
 from labelloom.functions.text import (
     clean_company_name, clean_text, whole_word,
@@ -37,15 +37,13 @@ def lemmatize(
     the same partition and the regrouping needs no second shuffle.
     """
     spread = df.repartition(shuffle_width(df.sparkSession), key)
-    tokens = spread.select(
-        key,
-        F.explode(
-            F.array(*[
-                F.struct(F.lit(c).alias("name"), words(F.col(c)).alias("w"))
-                for c in columns
-            ])
-        ).alias("cell"),
-    ).select(key, F.col("cell.name").alias("name"), F.posexplode("cell.w").alias("pos", "surface"))
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("name"), words(F.col(c)).alias("w")) for c in columns
+    ])
+    tokens = unnest(
+        unnest(spread, [key], cells, "cell"),
+        [key, F.col("cell.name").alias("name")], F.col("cell.w"), "surface", pos="pos",
+    )
     table = lemmas.select("surface", "lemma").groupBy("surface").agg(F.min("lemma").alias("lemma"))
     found = lookup_join(
         tokens.withColumn("_spread", F.concat_ws(":", key, "pos")),
@@ -175,7 +173,7 @@ def combined_term_counts(
         ),
     ).otherwise(F.array().cast("array<struct<term:string,n:bigint>>"))
     return (
-        blocks.select(key, F.explode(F.concat(inner, seams)).alias("g"))
+        unnest(blocks, [key], F.concat(inner, seams), "g")
         .where(F.col("g.n") > 0)
         .groupBy(key, F.col("g.term").alias("term"))
         .agg(F.sum("g.n").alias("tf"))

@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelloom.functions import lexicons
-from labelloom.functions.arrays import empty_strings, words
+from labelloom.functions.arrays import empty_strings, unnest, words
 from labelloom.plans.joins import lookup_join
 
 
@@ -31,7 +31,7 @@ def expand_synonyms(
     if synonyms is None:
         return df.withColumn(name, F.col(terms))
     single = (
-        df.select(key, F.posexplode(terms).alias("pos", "term"))
+        unnest(df, [key], F.col(terms), "term", pos="pos")
         .where(~F.contains("term", F.lit(" ")))
     )
     if looked_up is not None:

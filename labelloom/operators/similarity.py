@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelloom.functions import lexicons
-from labelloom.functions.arrays import words
+from labelloom.functions.arrays import unnest, words
 from labelloom.operators import lexicon as lex
 from labelloom.operators import tfidf
 from labelloom.operators.features import (
@@ -71,8 +71,10 @@ def company_features(
     ``text``, which then needs only as many copies as they can notice.
     """
     require_columns(df, key, text)
-    spread = df.select(key, text, *(repeats or {})).repartition(
-        shuffle_width(df.sparkSession), key
+    # the cleaned texts are read once per kind, so they are written first
+    columns = list(dict.fromkeys([key, text, *(repeats or {})]))
+    spread = materialize_bucketed(
+        df.select(*columns).repartition(shuffle_width(df.sparkSession), key), "texts", key
     )
     parts = [spread.select(*_feature(key, SELF, F.lit(""), F.lit(0)))]
     if "gram" in kinds:
@@ -86,20 +88,21 @@ def company_features(
     if "word" in kinds:
         distinct = F.array_distinct(words(F.lower(text)))
         parts.append(
-            spread.select(key, F.explode(distinct).alias("term"))
+            unnest(spread, [key], distinct, "term")
             .select(*_feature(key, "word", F.col("term"), F.lit(1)))
         )
     if "syn" in kinds:
         sets = company_terms(spread, key, text, mode, synonyms)
         parts.append(
-            sets.select(key, F.size("synonyms").alias("n"), F.explode("synonyms").alias("term"))
+            unnest(sets, [key, F.size("synonyms").alias("n")], F.col("synonyms"), "term")
             .select(*_feature(key, "syn", F.col("term"), F.col("n")))
         )
     if "sectors" in kinds:
         mapped = lex.with_sectors(spread.select(key, text), text, "s", mode, sectors)
+        joined = mapped.select(key, F.array_join("s", "|").alias("s"))
         parts.append(
-            mapped.where(F.size("s") > 0)
-            .select(*_feature(key, "sectors", F.array_join("s", "|"), F.lit(1)))
+            joined.select(*_feature(key, "sectors", F.col("s"), F.lit(1)))
+            .where(F.col("term") != "")
         )
     rows = parts[0]
     for part in parts[1:]:
@@ -139,11 +142,11 @@ def sector_scores(company_sets: DataFrame, labels: DataFrame) -> DataFrame:
     """
     left = company_sets.select(
         "term", F.split("term", r"\|").alias("s")
-    ).select("term", F.size("s").alias("n"), F.explode("s").alias("sector"))
-    right = labels.select(
-        "label_id",
-        F.size("insurance_sectors").alias("m"),
-        F.explode("insurance_sectors").alias("sector"),
+    )
+    left = unnest(left, ["term", F.size("s").alias("n")], F.col("s"), "sector")
+    right = unnest(
+        labels, ["label_id", F.size("insurance_sectors").alias("m")],
+        F.col("insurance_sectors"), "sector",
     )
     common = left.join(right, "sector").groupBy("term", "label_id", "n", "m").agg(
         F.count(F.lit(1)).alias("c")
@@ -164,6 +167,11 @@ def label_table(
     ``value``: for grams idf times the label's unit weight, for words and
     synonyms the size of the label's set, for sectors the finished score.
     """
+    def set_rows(members: Column) -> DataFrame:
+        sets = labels.select("label_id", members.alias("ws"))
+        size = F.size("ws").cast("double").alias("value")
+        return unnest(sets, ["label_id", size], F.col("ws"), "term")
+
     parts = []
     if "gram" in kinds:
         # the label postings are the small side, the vocabulary the large one
@@ -179,14 +187,12 @@ def label_table(
         )
     if "word" in kinds:
         parts.append(
-            labels.select("label_id", F.array_distinct(words(F.lower("label"))).alias("ws"))
-            .select("label_id", F.size("ws").cast("double").alias("value"), F.explode("ws").alias("term"))
+            set_rows(F.array_distinct(words(F.lower("label"))))
             .select(F.lit("word").alias("kind"), "term", "label_id", "value")
         )
     if "syn" in kinds:
         parts.append(
-            labels.select("label_id", F.array_distinct("synonyms").alias("ws"))
-            .select("label_id", F.size("ws").cast("double").alias("value"), F.explode("ws").alias("term"))
+            set_rows(F.array_distinct("synonyms"))
             .select(F.lit("syn").alias("kind"), "term", "label_id", "value")
         )
     if "sectors" in kinds:
@@ -279,25 +285,19 @@ def sector_fallback(
     texts = companies.select(key, info.alias("info"))
     distinct = texts.select("info").distinct()
     info_words = (
-        distinct.select("info", F.explode(words(F.col("info"))).alias("part"))
+        unnest(distinct, ["info"], words(F.col("info")), "part")
         .where(F.length("part") > 3)
         .groupBy("info", "part").agg(F.count(F.lit(1)).alias("times"))
     )
     named = labels.select("label_id", "label", F.lower("label").alias("low"))
-    token = named.select("label_id", F.explode(F.array_distinct(words(F.col("low")))).alias("w"))
+    token = unnest(named, ["label_id"], F.array_distinct(words(F.col("low"))), "w")
     token = token.where(F.length("w") > 3)
-    starts = token.select(
-        "label_id", "w", F.explode(F.sequence(F.lit(1), F.length("w") - 3)).alias("i")
+    starts = unnest(token, ["label_id", "w"], F.sequence(F.lit(1), F.length("w") - 3), "i")
+    from_start = F.transform(
+        F.sequence(F.lit(4), F.length("w") - F.col("i") + 1),
+        lambda n: F.substring(F.col("w"), F.col("i"), n),
     )
-    parts = starts.select(
-        "label_id",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(4), F.length("w") - F.col("i") + 1),
-                lambda n: F.substring(F.col("w"), F.col("i"), n),
-            )
-        ).alias("part"),
-    ).distinct()
+    parts = unnest(starts, ["label_id"], from_start, "part").distinct()
     by_word = lookup_join(info_words, parts, ["part"], spread="info").groupBy(
         "info", "label_id"
     ).agg((F.sum("times") * 0.2).alias("score"))
@@ -305,8 +305,8 @@ def sector_fallback(
     left = lex.with_sectors(distinct, "info", "s", "basic", lexicon)
     right = lex.with_sectors(named, "low", "s", "basic", lexicon)
     by_sector = lookup_join(
-        left.select("info", F.explode("s").alias("sector")),
-        right.select("label_id", F.explode("s").alias("sector")),
+        unnest(left, ["info"], F.col("s"), "sector"),
+        unnest(right, ["label_id"], F.col("s"), "sector"),
         ["sector"], spread="info",
     ).groupBy("info", "label_id").agg((F.count(F.lit(1)) * 0.3).alias("score"))
 

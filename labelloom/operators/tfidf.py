@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from labelloom.functions.arrays import ngram_range, vector_tokens
+from labelloom.functions.arrays import ngram_range, unnest, vector_tokens
 from labelloom.operators.features import require_columns
 from labelloom.plans.joins import HOT_KEYS, fits_broadcast, hot_keys
 from labelloom.plans.scratch import shuffle_width
@@ -50,7 +50,7 @@ def term_counts(
     spread = df.select(key, text).repartition(shuffle_width(df.sparkSession), key)
     tokens = spread.select(key, vector_tokens(F.col(text)).alias("_t"))
     return (
-        tokens.select(key, F.explode(ngram_range(F.col("_t"), *ngrams)).alias("term"))
+        unnest(tokens, [key], ngram_range(F.col("_t"), *ngrams), "term")
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -98,21 +98,38 @@ def weigh(
     A vocabulary within the broadcast bound is broadcast.  Beyond it, terms
     that own more than ``1 / HOT_KEYS`` of all postings (there cannot be more
     than ``HOT_KEYS`` of them) are broadcast, and only the other terms, none of
-    which is large, are joined by a shuffle.  ``own_corpus`` says that ``vocab``
-    was counted on these postings, so its ``df`` already tells which are hot.
+    which is large, are joined by a shuffle.
+
+    ``own_corpus`` says that ``vocab`` was counted on these postings.  Then its
+    ``df`` already tells which terms are hot, and the many terms that occur in
+    one document only, which share one idf, need not take part in the join.
     """
     known = kept_terms(vocab).select("term", "idf")
     if fits_broadcast(known):
         return postings.join(F.broadcast(known), "term")
-    if own_corpus and "df" in vocab.columns:
+    if own_corpus:
         total = vocab.agg(F.sum("df")).first()[0]
         hot = vocab.where(F.col("df") * HOT_KEYS > total).select("term")
     else:
         hot = hot_keys(postings, ["term"])
     hot_idf = known.join(F.broadcast(hot), "term", "left_semi")
-    return postings.join(F.broadcast(hot_idf), "term").unionByName(
-        postings.join(F.broadcast(hot), "term", "left_anti").join(known, "term")
+    hot_part = postings.join(F.broadcast(hot_idf), "term")
+    cold = postings.join(F.broadcast(hot), "term", "left_anti")
+    if not own_corpus:
+        return hot_part.unionByName(cold.join(known, "term"))
+    single = vocab.where(F.col("df") == 1).select("idf").first()
+    repeated = vocab.where(F.col("df") > 1).select("term", "idf", F.lit(True).alias("_seen"))
+    cold_part = (
+        cold.join(repeated, "term", "left")
+        .withColumn(
+            "idf",
+            F.when(F.col("_seen"), F.col("idf"))
+            .otherwise(F.lit(single["idf"] if single else None).cast("double")),
+        )
+        .where(F.col("idf").isNotNull())
+        .drop("_seen")
     )
+    return hot_part.unionByName(cold_part)
 
 
 def norms(weights: DataFrame, key: str, weight: str = "weight") -> DataFrame:

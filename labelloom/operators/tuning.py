@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from labelloom.functions.arrays import unnest
 from labelloom.operators import ranking
 
 TRIAL_SCHEMA = (
@@ -110,7 +111,7 @@ def objective(
         F.coalesce(F.avg(mean), F.lit(0.0)).alias("confidence"),
     )
     used = (
-        classified.select("trial_id", F.explode(labels).alias("label")).distinct()
+        unnest(classified, ["trial_id"], labels, "label").distinct()
         .groupBy("trial_id").agg(F.count(F.lit(1)).alias("used"))
     )
     diversity = F.coalesce(F.col("used"), F.lit(0)) / n_labels if n_labels else F.lit(0.0)
@@ -143,6 +144,7 @@ def search(
     from labelloom.plans import classify
     from labelloom.plans.scratch import materialize
 
+    labels = materialize(labels, "taxonomy")
     chosen = materialize(sample(companies, key, n, seed), "sample")
     rows, pairs = classify.ensemble_pairs(chosen, labels, key=key, **options)
     pairs = materialize(pairs, "components")

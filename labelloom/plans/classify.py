@@ -105,6 +105,7 @@ def top_matches(
     are cut to ``top_k`` before they are joined with it.
     """
     ranking.check_top_k(top_k)
+    labels = materialize(labels, "taxonomy")
     rows, dots, norms = tfidf_pairs(companies, labels, key, **options)
     ids = company_ids(rows, key)
     scored = dots.join(norms, key).withColumn("score", F.col("dot") / F.col("norm"))
@@ -183,6 +184,7 @@ def ensemble_classify(
 ) -> DataFrame:
     """Full classifier; one output row per company."""
     ranking.check_top_k(settings.top_k)
+    labels = materialize(labels, "taxonomy")
     rows, pairs = ensemble_pairs(companies, labels, settings, key, **options)
     return rank_and_collect(
         company_ids(rows, key), pairs, labels, settings, key,
