@@ -417,8 +417,8 @@ def topk(pairs: str, k: int, threshold: float) -> str:
 
 
 SQL["rank_topk_tfidf"] = (
-    _turn[:-1] + ", " + topk("cos", 3, 0.1)
-    + " SELECT cid AS company_id, lid AS label_id, round(cos, 6) AS score, rank FROM top"
+    _doc[:-1] + ", " + topk("cos", 5, 0.02)
+    + " SELECT CAST(cid AS BIGINT) AS company_id, lid AS label_id, round(cos, 6) AS score, rank FROM top"
 )
 
 

@@ -449,7 +449,7 @@ def score_rescale(spark, sf):
 @query
 def rank_topk_tfidf(spark, sf):
     _, matches = classify.top_matches(
-        inputs.turns(spark, sf), inputs.benchmark(spark, sf), top_k=3, threshold=0.1
+        inputs.cleaned_documents(spark, sf), inputs.benchmark(spark, sf), top_k=5, threshold=0.02
     )
     return matches.select("company_id", "label_id", rounded("score"), "rank")
 
