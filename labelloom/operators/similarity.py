@@ -21,7 +21,7 @@ from labelloom.operators import tfidf
 from labelloom.operators.features import (
     combined_term_counts, require_columns, with_key_terms,
 )
-from labelloom.plans.joins import lookup_join
+from labelloom.plans.joins import fits_broadcast, lookup_join
 from labelloom.plans.scratch import materialize, materialize_bucketed, shuffle_width
 
 KINDS = ("gram", "word", "syn", "sectors")
@@ -63,19 +63,33 @@ def company_features(
     sectors: dict[str, list[str]] = None,
     synonyms: DataFrame = None,
     repeats: dict[str, int] = None,
+    wanted: DataFrame = None,
 ) -> DataFrame:
     """Feature rows ``(key, term, w, kind)``, written bucketed by key.
 
+    ``wanted`` has the ``(kind, term)`` of the labels' words and synonyms; a
+    company word or synonym that no label has is not written.
+
     With ``repeats`` the company text is the combined text of those columns:
     its n-grams are counted without building it, and the other features read
     ``text``, which then needs only as many copies as they can notice.
     """
     require_columns(df, key, text)
-    # the cleaned texts are read once per kind, so they are written first
+    if wanted is not None:
+        wanted = wanted.select("kind", "term").distinct()
+        if not fits_broadcast(wanted):
+            wanted = None
+
+    def useful(rows: DataFrame) -> DataFrame:
+        if wanted is None:
+            return rows
+        return rows.join(F.broadcast(wanted), ["kind", "term"], "left_semi")
+
     columns = list(dict.fromkeys([key, text, *(repeats or {})]))
-    spread = materialize_bucketed(
-        df.select(*columns).repartition(shuffle_width(df.sparkSession), key), "texts", key
-    )
+    spread = df.select(*columns).repartition(shuffle_width(df.sparkSession), key)
+    if len(kinds) > 1:
+        # the cleaned texts are read once per kind, so they are written first
+        spread = materialize_bucketed(spread, "texts", key)
     parts = [spread.select(*_feature(key, SELF, F.lit(""), F.lit(0)))]
     if "gram" in kinds:
         counts = (
@@ -88,14 +102,18 @@ def company_features(
     if "word" in kinds:
         distinct = F.array_distinct(words(F.lower(text)))
         parts.append(
-            unnest(spread, [key], distinct, "term")
-            .select(*_feature(key, "word", F.col("term"), F.lit(1)))
+            useful(
+                unnest(spread, [key], distinct, "term")
+                .select(*_feature(key, "word", F.col("term"), F.lit(1)))
+            )
         )
     if "syn" in kinds:
         sets = company_terms(spread, key, text, mode, synonyms)
         parts.append(
-            unnest(sets, [key, F.size("synonyms").alias("n")], F.col("synonyms"), "term")
-            .select(*_feature(key, "syn", F.col("term"), F.col("n")))
+            useful(
+                unnest(sets, [key, F.size("synonyms").alias("n")], F.col("synonyms"), "term")
+                .select(*_feature(key, "syn", F.col("term"), F.col("n")))
+            )
         )
     if "sectors" in kinds:
         mapped = lex.with_sectors(spread.select(key, text), text, "s", mode, sectors)

@@ -140,12 +140,13 @@ def ensemble_pairs(
     feat.require_columns(labels, "label_id", "label", "cleaned_label")
     if repeats:
         companies = companies.withColumn(text, feat.combined_text(_enough_copies(repeats, settings)))
-    rows = similarity.company_features(
-        companies, key, text, settings.mode, sectors=settings.sectors(),
-        synonyms=synonyms, repeats=repeats,
-    )
     labels = materialize(
         similarity.label_features(labels, settings.mode, settings.sectors(), synonyms), "label_features"
+    ).withColumn("label", F.col(settings.bonus_on))
+    sets = similarity.label_table(labels, kinds=("word", "syn"))
+    rows = similarity.company_features(
+        companies, key, text, settings.mode, sectors=settings.sectors(),
+        synonyms=synonyms, repeats=repeats, wanted=sets,
     )
     label_counts = materialize(tfidf.term_counts(labels, "label_id", "cleaned_label"), "label_counts")
     own = vocab is None
@@ -153,9 +154,8 @@ def ensemble_pairs(
         n_docs = company_ids(rows, key).count() + labels.count()
         vocab = fit(rows, label_counts, n_docs, settings.min_df, settings.max_df)
     table = similarity.label_table(
-        labels.withColumn("label", F.col(settings.bonus_on)), vocab, label_counts,
-        similarity.distinct_sector_sets(rows),
-    )
+        labels, vocab, label_counts, similarity.distinct_sector_sets(rows), kinds=("gram", "sectors")
+    ).unionByName(sets)
     pairs = similarity.pair_components(rows, table, key)
     return rows, similarity.with_tfidf(
         pairs, similarity.company_norms(rows, key, vocab, own), key

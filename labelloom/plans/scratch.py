@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+# what this process has written: (table name or None, path)
+_written: list[tuple[str | None, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -56,6 +59,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a reader over the written table."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append((None, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -68,9 +72,31 @@ def materialize_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """
     spark = df.sparkSession
     table = f"labelloom_{name}_{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     (
         df.write.bucketBy(shuffle_width(spark), key)
-        .option("path", scratch_path(spark, name))
+        .option("path", path)
         .saveAsTable(table)
     )
+    _written.append((table, path))
     return spark.table(table)
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Delete the intermediate tables written inside the block when it ends.
+
+    For callers that have stored their result by then, such as one micro-batch
+    of a stream.
+    """
+    first = len(_written)
+    try:
+        yield
+    finally:
+        for table, path in _written[first:]:
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            fs.delete(folder, True)
+        del _written[first:]

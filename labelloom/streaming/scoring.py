@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from labelloom.plans.classify import Settings, ensemble_classify, tfidf_classify
+from labelloom.plans.scratch import scope
 
 
 def score_with_model(
@@ -40,9 +41,9 @@ def score_stream(
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        score_with_model(batch, labels, vocab, **options).write.mode("overwrite").parquet(
-            f"{output_path}/batch={batch_id}"
-        )
+        with scope(batch.sparkSession):
+            scored = score_with_model(batch, labels, vocab, **options)
+            scored.write.mode("overwrite").parquet(f"{output_path}/batch={batch_id}")
 
     return (
         companies.writeStream.foreachBatch(write)
