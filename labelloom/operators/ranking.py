@@ -155,40 +155,33 @@ def last_label(labels: DataFrame) -> str | None:
 
 def fallback_chain(
     classified: DataFrame,
-    best: DataFrame,
     labels: DataFrame,
     companies: DataFrame,
     key: str = "company_id",
     require_positive_best: bool = False,
     sector_lexicon: dict[str, list[str]] = None,
 ) -> DataFrame:
-    """Give every company without labels one label.
+    """Give every company without any positive pair one label.
 
-    ``best`` holds each company's best positive pair ``(key, label, score)``.
-    A non-empty taxonomy always has a best label: without any positive pair it
-    is the last one, with score 0.  ``require_positive_best`` goes on instead
-    to the sector label and then to the generic label.
+    A non-empty taxonomy always has a best label: when all scores are zero it
+    is the last one, with score 0.  ``require_positive_best`` (or an empty
+    taxonomy) goes on instead to the sector label and then to the generic label.
     """
     from labelloom.operators.similarity import sector_fallback
 
-    empty = F.coalesce(F.size("insurance_labels"), F.lit(0)) == 0
-    out = classified.join(
-        best.select(key, F.col("label").alias("_best"), F.col("score").alias("_best_score")),
-        key, "left",
-    )
+    out = classified
     last = last_label(labels)
-    label, score = F.col("_best"), F.col("_best_score")
     if last is not None and not require_positive_best:
-        label, score = F.coalesce(label, F.lit(last)), F.coalesce(score, F.lit(0.0))
+        label, score = F.lit(last), F.lit(0.0)
     else:
         sector = sector_fallback(companies, labels, key, sector_lexicon).select(
             key, F.col("label").alias("_sector"), F.col("score").alias("_sector_score")
         )
         out = out.join(sector, key, "left")
-        label = F.coalesce(label, F.col("_sector"), generic_label(labels))
-        score = F.coalesce(score, F.col("_sector_score"), F.lit(GENERIC_SCORE))
-    out = out.withColumns({
+        label = F.coalesce(F.col("_sector"), generic_label(labels))
+        score = F.coalesce(F.col("_sector_score"), F.lit(GENERIC_SCORE))
+    empty = F.coalesce(F.size("insurance_labels"), F.lit(0)) == 0
+    return out.withColumns({
         "insurance_labels": F.when(empty, F.array(label)).otherwise(F.col("insurance_labels")),
         "insurance_label_scores": F.when(empty, F.array(score)).otherwise(F.col("insurance_label_scores")),
-    })
-    return out.drop("_best", "_best_score", "_sector", "_sector_score")
+    }).drop("_sector", "_sector_score")

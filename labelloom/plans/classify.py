@@ -204,14 +204,17 @@ def rank_and_collect(
     ranked = ranking.rescale(
         ranking.top_k_pairs(scored, [key], "raw_score", settings.top_k), [key]
     ).select(key, "label_id", "raw_score", "score", "rank")
-    best = ranked.where(F.col("rank") == 1)
     if settings.threshold <= 0:
         ranked = ranking.pad_with_zero_scores(ranked, ids, labels, key, settings.top_k)
-    matches = ranked.where(ranking.at_least("score", settings.threshold))
+    kept = ranking.at_least("score", settings.threshold)
+    if settings.ensure_one_tag:
+        # whenever any label passes the threshold, the best one does
+        kept = kept | (F.col("rank") == 1)
+    matches = ranked.where(kept)
     out = ids.join(ranking.label_lists(_named(matches, labels, key), [key]), key, "left")
     if settings.ensure_one_tag:
         out = ranking.fallback_chain(
-            out, _named(best, labels, key), labels, companies, key,
+            out, labels, companies, key,
             settings.require_positive_best, settings.sectors(),
         )
     return ranking.with_label_text(out)

@@ -9,7 +9,11 @@ from compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
 # costly queries whose parts other tests cover; tests/compare.py runs them too
-SLOW = {"tune_history", "tune_apply_best", "pipe_run", "score_ensemble", "sim_synonym_jaccard"}
+SLOW = {
+    "tune_search", "tune_history", "tune_apply_best", "pipe_run", "pipe_ensemble_basic",
+    "score_ensemble", "score_rescale", "rank_topk_ensemble", "rank_ensure_one",
+    "sim_synonym_jaccard", "sim_exact_bonus", "sim_cosine", "pipe_score_saved",
+}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 
 
