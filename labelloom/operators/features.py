@@ -78,7 +78,7 @@ def clean_columns(
     out = df.withColumns(
         {dst: clean_text(F.col(src), **options) for src, dst in columns.items()}
     )
-    if lemmas is None:
+    if lemmas is None or not columns:
         return out
     if key is None:
         raise ValueError("Lemmatizing needs the key column")

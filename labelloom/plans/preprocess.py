@@ -91,8 +91,15 @@ def process_files(
     taxonomy_path: str,
     company_output: str = None,
     taxonomy_output: str = None,
+    reuse: bool = False,
     **options,
 ) -> tuple[DataFrame, DataFrame]:
+    """Read, preprocess and optionally write both tables.  ``reuse`` loads the
+    two outputs instead when both exist already."""
+    if reuse and company_output and taxonomy_output:
+        saved = readers.load_if_present(spark, company_output, taxonomy_output)
+        if saved is not None:
+            return saved
     companies, taxonomy = readers.load_two_tables(spark, company_path, taxonomy_path)
     companies = preprocess_companies(companies, **options)
     taxonomy = preprocess_taxonomy(taxonomy, **options)

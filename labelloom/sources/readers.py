@@ -92,6 +92,16 @@ def load_processed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def load_if_present(spark: SparkSession, *paths: str) -> tuple[DataFrame, ...] | None:
+    """The processed tables, or None unless all of them exist."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not folder.getFileSystem(conf).exists(folder):
+            return None
+    return tuple(load_processed(spark, p) for p in paths)
+
+
 def load_results(spark: SparkSession, path: str) -> DataFrame:
     """Classified results from Parquet or CSV; a missing path raises.  List
     cells of a CSV file are parsed back into arrays."""

@@ -40,6 +40,8 @@ def test_process_files(spark, tmp_path):
     again = readers.load_processed(spark, out + "/c").first()
     assert again["cleaned_description"] == "general liability"
     assert again["description_bigrams"] == ["general liability"]
+    c, t = preprocess.process_files(spark, "gone.csv", "gone.csv", out + "/c", out + "/t", reuse=True)
+    assert c.first()["company_id"] == again["company_id"] and t.count() == 1
     assert readers.load_processed(spark, out + "/t").first()["label_keywords"] == ["tree", "services"]
 
 
