@@ -184,3 +184,16 @@ def test_search_space_is_repeatable(spark):
     for r in a:
         assert 1 <= r["top_k"] <= 10 and 0.01 <= r["threshold"] <= 0.3
         assert math.isclose(r["tfidf_weight"] + r["wordnet_weight"] + r["keyword_weight"], 1.0)
+
+
+def test_result_is_the_same_beyond_the_broadcast_bound(spark, monkeypatch):
+    texts = [f"pet dog w{i % 7} office w{i % 3}" for i in range(40)]
+    c, l = companies(spark, *texts), labels(spark, "Pet w1", "Dog w2", "Office w3 w4", "Real Estate")
+    def result():
+        out = classify.ensemble_classify(c, l).collect()
+        return sorted((r["company_id"], r["insurance_labels"], [round(s, 9) for s in r["insurance_label_scores"]]) for r in out)
+    want = result()
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(joins, "HOT_KEYS", 50)
+    monkeypatch.setattr(tfidf, "HOT_KEYS", 50)
+    assert result() == want
