@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: The white space of the word pattern ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\f\r"
@@ -50,3 +50,32 @@ def spread(df: DataFrame) -> int:
         int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
         df.sparkSession.sparkContext.defaultParallelism,
     )
+
+
+def numbered(rows: DataFrame, key: str, counts: dict, order: list[str]) -> DataFrame:
+    """``rows`` with ``number``: 0, 1, ... within each value of ``key``.
+
+    ``counts`` has the rows of every value (bounded by the caller).  Values are
+    split into groups that are small against a task's share of all rows.
+    """
+    spark, total = rows.sparkSession, sum(counts.values())
+    share = max(32, total // (8 * spread(rows)))
+    groups = spark.createDataFrame([(k, -(-n // share)) for k, n in counts.items()], "k long, parts long")
+    dealt = (
+        rows.join(F.broadcast(groups), rows[key] == F.col("k"))
+        .withColumn("part", F.pmod(F.xxhash64(*order), F.col("parts")))
+        .drop("k", "parts")
+    )
+    before = (
+        dealt.groupBy(key, "part")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("before", F.sum("n").over(Window.partitionBy(key).orderBy("part")) - F.col("n"))
+        .drop("n")
+    )
+    inside = F.row_number().over(Window.partitionBy(key, "part").orderBy(*order)) - 1
+    return (
+        dealt.withColumn("inside", inside)
+        .join(before, [key, "part"])
+        .withColumn("number", F.col("before") + F.col("inside"))
+        .drop("part", "inside", "before")
+    )

@@ -24,9 +24,9 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from labelloom.llm.common import spread
+from labelloom.llm.common import numbered
 from labelloom.plans.scratch import materialize
 
 CAPACITY = 4096
@@ -172,35 +172,6 @@ def places(patterns: list[tuple[Counter, int]]) -> tuple[np.ndarray, np.ndarray]
     return found[:, 0], found[:, 1:]
 
 
-def numbered(rows: DataFrame, key: str, counts: dict, order: list[str]) -> DataFrame:
-    """``rows`` with ``number``: 0, 1, ... within each value of ``key``.
-
-    ``counts`` has the rows of every value (bounded by the caller).  Values are
-    split into groups that are small against a task's share of all rows.
-    """
-    spark, total = rows.sparkSession, sum(counts.values())
-    share = max(32, total // (8 * spread(rows)))
-    groups = spark.createDataFrame([(k, -(-n // share)) for k, n in counts.items()], "k long, parts long")
-    dealt = (
-        rows.join(F.broadcast(groups), rows[key] == F.col("k"))
-        .withColumn("part", F.pmod(F.xxhash64(*order), F.col("parts")))
-        .drop("k", "parts")
-    )
-    before = (
-        dealt.groupBy(key, "part")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("before", F.sum("n").over(Window.partitionBy(key).orderBy("part")) - F.col("n"))
-        .drop("n")
-    )
-    inside = F.row_number().over(Window.partitionBy(key, "part").orderBy(*order)) - 1
-    return (
-        dealt.withColumn("inside", inside)
-        .join(before, [key, "part"])
-        .withColumn("number", F.col("before") + F.col("inside"))
-        .drop("part", "inside", "before")
-    )
-
-
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """``pieces`` with the sequence_id and offset of each."""
     cut = materialize(pieces(docs, path, capacity, end), "pieces")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelloom.llm import chat, licenses, packing, pii, quality, simhash
+from labelloom.llm import chat, licenses, packing, pii, quality, sharding, simhash
 from labelloom.llm.common import table
 from labelloom.plans.scratch import materialize
 
@@ -44,6 +44,13 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_pairs(*pairs)
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.assign(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and lines that are a known licence text or notice."""
     known = licenses.known_digests(licenses.builtin_texts(spark))
@@ -73,6 +80,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op6_packing": op6_packing,
     "op7_chat_format": op7_chat_format,
+    "op8_sharding": op8_sharding,
     "op9_license_scan": op9_license_scan,
 }
 
