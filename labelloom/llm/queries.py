@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelloom.llm import chat, licenses, packing, pii, quality, sharding, simhash
+from labelloom.llm import chat, decontamination, licenses, packing, pii, quality, sharding, simhash
 from labelloom.llm.common import table
 from labelloom.plans.scratch import materialize
 
@@ -57,6 +57,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), known)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items leaked into documents."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -77,6 +82,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
+    "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
     "op6_packing": op6_packing,
     "op7_chat_format": op7_chat_format,
