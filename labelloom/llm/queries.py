@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelloom.llm import chat, decontamination, licenses, packing, pii, quality, sharding, simhash
+from labelloom.llm import chat, decontamination, licenses, lines, packing, pii, quality, sharding, simhash
 from labelloom.llm.common import table
 from labelloom.plans.scratch import materialize
 
@@ -79,6 +79,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of a repeated line, and the one that is kept."""
+    found = lines.repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.col("line").cast("long").alias("line"), "kept_doc_id", F.col("kept_line").cast("long").alias("kept_line"), "kept"
+    )
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
@@ -88,6 +96,7 @@ QUERIES = {
     "op7_chat_format": op7_chat_format,
     "op8_sharding": op8_sharding,
     "op9_license_scan": op9_license_scan,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SQL: dict[str, str] = {}

@@ -21,6 +21,9 @@ component of its fingerprint like any other and never names one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -94,20 +97,40 @@ def _open(mask: int) -> list[int]:
     return [p for p in range(64) if not mask >> p & 1]
 
 
-def _dealt(fps: DataFrame, radius: int) -> DataFrame:
-    """fp, mask, key of every fingerprint and covering mask."""
-    keys = F.array(*[F.struct(F.lit(m).alias("mask"), F.col("fp").bitwiseAND(m).alias("key")) for m in masks(list(range(64)), radius)])
-    return fps.select("fp", F.inline(keys))
-
-
-def _dealt_again(rows: DataFrame, outer: list[int], radius: int) -> tuple[DataFrame, list[int]]:
+def _dealt_again(rows: DataFrame, outer: list[int], refine: Callable) -> tuple[DataFrame, list[int]]:
     """Rows of large buckets under masks refined by the bits their mask leaves open."""
-    finer = {m: [m | x for x in masks(_open(m), radius)] for m in outer}
+    finer = {m: [m | x for x in refine(_open(m))] for m in outer}
     spec = F.create_map(*[x for m, inner in finer.items() for x in (F.lit(m), F.array(*map(F.lit, inner)))])
     rows = rows.select("fp", F.explode(F.element_at(spec, F.col("mask"))).alias("mask"))
     return rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))), sorted({x for v in finer.values() for x in v})
 
 
+def buckets(fps: DataFrame, first: list[int], refine: Callable, bucket: int = BUCKET) -> DataFrame:
+    """Buckets of two or more distinct fingerprints: at (mask, key), fps.
+
+    ``first`` are masks such that fingerprints to be compared agree on one of
+    them, and ``refine`` gives such masks over the bits that one leaves open.
+    """
+    keys = F.array(*[F.struct(F.lit(m).alias("mask"), F.col("fp").bitwiseAND(m).alias("key")) for m in first])
+    rows, outer, out = fps.select("fp", F.inline(keys)), first, []
+    while True:
+        last = all(len(_open(m)) <= OPEN_BITS for m in outer)
+        sizes = rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        shared = rows.join(sizes, ["mask", "key"])
+        small = shared if last else shared.where(F.col("n") <= bucket)
+        # a key of its own, so that Spark may split the skewed join before it
+        small = small.select("fp", F.struct("mask", "key").alias("at"))
+        out.append(small.groupBy("at").agg(F.collect_list("fp").alias("fps")))
+        if last:
+            break
+        large = materialize(shared.where(F.col("n") > bucket).select("fp", "mask"), "large_buckets")
+        hot = [r["mask"] for r in large.select("mask").distinct().collect()]
+        if not hot:
+            break
+        rows, outer = _dealt_again(large, hot, refine)
+    return reduce(DataFrame.unionAll, out)
+
+
 def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Spanning forest of the links among distinct fingerprints."""
     links, rest = [], fps
@@ -123,10 +146,12 @@ def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return links
 
 
-def _compared(buckets: DataFrame, radius: int) -> DataFrame:
-    """Links a, b of buckets given as arrays of fingerprints."""
+def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Links a, b whose components are those of all pairs within the radius.
 
-    def run(batches):
+    ``fps`` holds distinct fingerprints in a column ``fp``."""
+
+    def compare(batches):
         for batch in batches:
             found = []
             lists = batch.column(0)
@@ -136,33 +161,11 @@ def _compared(buckets: DataFrame, radius: int) -> DataFrame:
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return buckets.select("fps").mapInArrow(run, "a long, b long")
-
-
-def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Links a, b whose components are those of all pairs within the radius.
+    def covering(positions):
+        return masks(positions, radius)
 
-    ``fps`` holds distinct fingerprints in a column ``fp``."""
-    rows, outer, out = _dealt(fps, radius), masks(list(range(64)), radius), []
-    while True:
-        last = all(len(_open(m)) <= OPEN_BITS for m in outer)
-        sizes = rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = rows.join(sizes, ["mask", "key"])
-        small = shared if last else shared.where(F.col("n") <= bucket)
-        # a key of its own, so that Spark may split the skewed join before it
-        small = small.select("fp", F.struct("mask", "key").alias("at"))
-        out.append(_compared(small.groupBy("at").agg(F.collect_list("fp").alias("fps")), radius))
-        if last:
-            break
-        large = materialize(shared.where(F.col("n") > bucket).select("fp", "mask"), "large_buckets")
-        hot = [r["mask"] for r in large.select("mask").distinct().collect()]
-        if not hot:
-            break
-        rows, outer = _dealt_again(large, hot, radius)
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionAll(more)
-    return found
+    found = buckets(fps, covering(list(range(64))), covering, bucket)
+    return found.select("fps").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
