@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelloom.llm import chat, decontamination, licenses, lines, packing, pii, quality, sharding, simhash
+from labelloom.llm import chat, decontamination, licenses, lines, lm, packing, pii, quality, sharding, simhash
 from labelloom.llm.common import table
 from labelloom.plans.scratch import materialize
 
@@ -68,6 +68,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -92,6 +97,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
+    "op5_lm_scores": op5_lm_scores,
     "op6_packing": op6_packing,
     "op7_chat_format": op7_chat_format,
     "op8_sharding": op8_sharding,
