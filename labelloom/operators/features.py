@@ -36,7 +36,7 @@ def lemmatize(
     Rows are spread by ``key`` first, so the tokens of one row meet again in
     the same partition and the regrouping needs no second shuffle.
     """
-    spread = df.repartition(shuffle_width(df.sparkSession), key)
+    spread = df.repartition(shuffle_width(df), key)
     cells = F.array(*[
         F.struct(F.lit(c).alias("name"), words(F.col(c)).alias("w")) for c in columns
     ])
@@ -119,7 +119,7 @@ def combined_term_counts(
     """
     if any(n < 2 for n in repeats.values()):
         raise ValueError("Periodic counting needs at least two copies per column")
-    spread = df.repartition(shuffle_width(df.sparkSession), key)
+    spread = df.repartition(shuffle_width(df), key)
     tokens = spread.select(
         key, *[vector_tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(repeats)]
     )

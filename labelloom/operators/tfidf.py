@@ -47,7 +47,7 @@ def term_counts(
     then counted inside their partition without a shuffle of their own.
     """
     require_columns(df, key, text)
-    spread = df.select(key, text).repartition(shuffle_width(df.sparkSession), key)
+    spread = df.select(key, text).repartition(shuffle_width(df), key)
     tokens = spread.select(key, vector_tokens(F.col(text)).alias("_t"))
     return (
         unnest(tokens, [key], ngram_range(F.col("_t"), *ngrams), "term")
@@ -111,7 +111,7 @@ def weigh(
         total = vocab.agg(F.sum("df")).first()[0]
         hot = vocab.where(F.col("df") * HOT_KEYS > total).select("term")
     else:
-        hot = hot_keys(postings, ["term"])
+        hot = hot_keys(postings, ["term"]).select("term")
     hot_idf = known.join(F.broadcast(hot), "term", "left_semi")
     hot_part = postings.join(F.broadcast(hot_idf), "term")
     cold = postings.join(F.broadcast(hot), "term", "left_anti")

@@ -9,19 +9,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from labelloom.plans.scratch import materialize, shuffle_width
+
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_KEYS = 20_000
-SALTS = 32
 
 
 def fits_broadcast(df: DataFrame, rows: int = None, size: int = None) -> bool:
-    """True when ``df`` has at most ``rows`` rows and ``size`` bytes as JSON."""
+    """True when ``df`` has at most ``rows`` rows and ``size`` bytes as JSON.
+
+    Every task counts its own rows; nothing is gathered for the check.
+    """
     rows = BROADCAST_ROWS if rows is None else rows
     size = BROADCAST_BYTES if size is None else size
     seen, octets = (
-        df.limit(rows + 1)
-        .select(F.octet_length(F.to_json(F.struct(*df.columns))).alias("b"))
+        df.select(F.octet_length(F.to_json(F.struct(*df.columns))).alias("b"))
         .agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0)))
         .first()
     )
@@ -29,11 +32,14 @@ def fits_broadcast(df: DataFrame, rows: int = None, size: int = None) -> bool:
 
 
 def hot_keys(big: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that own more than ``1 / HOT_KEYS`` of the rows.  At most
-    ``HOT_KEYS`` keys can do so, whatever the data looks like."""
-    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = big.count()
-    return counts.where(F.col("n") * HOT_KEYS > total).select(*keys)
+    """Keys that own more than ``1 / HOT_KEYS`` of the rows, with the number of
+    salts that their share asks for.  At most ``HOT_KEYS`` keys can do so,
+    whatever the data looks like."""
+    counts = materialize(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "key_counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # a salted part holds at most a quarter of an even partition
+    salts = F.ceil(F.col("n") * (4 * shuffle_width(big)) / F.lit(max(total, 1))).cast("int")
+    return counts.where(F.col("n") * HOT_KEYS > total).select(*keys, salts.alias("_salts"))
 
 
 def lookup_join(
@@ -51,17 +57,12 @@ def lookup_join(
         raise ValueError(f"Unsupported join type: {how}")
     if fits_broadcast(small):
         return big.join(F.broadcast(small), keys, how)
-    hot = F.broadcast(hot_keys(big, keys).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(big, keys))
+    salts = F.coalesce("_salts", F.lit(1))
     salted_big = big.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-        .otherwise(0),
-    ).drop("_hot")
+        "_salt", F.pmod(F.xxhash64(spread), salts).cast("int")
+    ).drop("_salts")
     salted_small = small.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)))
-            .otherwise(F.array(F.lit(0)))
-        ),
-    ).drop("_hot")
+        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
+    ).drop("_salts")
     return salted_big.join(salted_small, [*keys, "_salt"], how).drop("_salt")
