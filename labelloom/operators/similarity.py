@@ -75,21 +75,25 @@ def company_features(
     ``text``, which then needs only as many copies as they can notice.
     """
     require_columns(df, key, text)
+    width = shuffle_width(df)
     if wanted is not None:
         wanted = wanted.select("kind", "term").distinct()
-        if not fits_broadcast(wanted):
-            wanted = None
+    small = wanted is not None and fits_broadcast(wanted)
 
     def useful(rows: DataFrame) -> DataFrame:
         if wanted is None:
             return rows
-        return rows.join(F.broadcast(wanted), ["kind", "term"], "left_semi")
+        if small:
+            return rows.join(F.broadcast(wanted), ["kind", "term"], "left_semi")
+        # a large taxonomy: salted by shuffle, then back to the key's bucket
+        found = lookup_join(rows, wanted, ["kind", "term"], spread=key)
+        return found.repartition(width, key)
 
     columns = list(dict.fromkeys([key, text, *(repeats or {})]))
-    spread = df.select(*columns).repartition(shuffle_width(df.sparkSession), key)
+    spread = df.select(*columns).repartition(width, key)
     if len(kinds) > 1:
         # the cleaned texts are read once per kind, so they are written first
-        spread = materialize_bucketed(spread, "texts", key)
+        spread = materialize_bucketed(spread, "texts", key, width)
     parts = [spread.select(*_feature(key, SELF, F.lit(""), F.lit(0)))]
     if "gram" in kinds:
         counts = (
@@ -125,7 +129,7 @@ def company_features(
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    return materialize_bucketed(rows, "features", key)
+    return materialize_bucketed(rows, "features", key, width)
 
 
 # --- label side ------------------------------------------------------------
@@ -272,6 +276,29 @@ def pair_components(features: DataFrame, label_rows: DataFrame, key: str) -> Dat
     )
 
 
+def best_pair_components(features: DataFrame, label_rows: DataFrame, key: str, best: int) -> DataFrame:
+    """``pair_components`` without the pairs that share only sectors and cannot
+    be among a company's ``best``.
+
+    Companies of one sector set have the same sector scores.  Of the labels that
+    share nothing else, only the best ones of the set can win, because the same
+    number of labels scores at least as high.  Every other pair gets its sector
+    score by a lookup on (set, label).
+    """
+    scores = label_rows.where(F.col("kind") == "sectors")
+    order = Window.partitionBy("term").orderBy(F.desc("value"), F.desc("label_id"))
+    winners = scores.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= best).drop("_rank")
+    pairs = pair_components(
+        features, label_rows.where(F.col("kind") != "sectors").unionByName(winners), key
+    ).drop("keyword")
+    own = features.where(F.col("kind") == "sectors").select(key, F.col("term").alias("_set"))
+    score = scores.select(F.col("term").alias("_set"), "label_id", F.col("value").alias("_value"))
+    found = lookup_join(pairs.join(own, key, "left"), score, ["_set", "label_id"], spread=key, how="left")
+    return found.select(
+        key, "label_id", "dot", "wordnet", F.coalesce("_value", F.lit(0.0)).alias("keyword"), "bonus"
+    )
+
+
 def with_tfidf(pairs: DataFrame, norms: DataFrame, key: str) -> DataFrame:
     """Cosine from the dot product (labels are unit vectors already)."""
     return pairs.join(norms, key, "left").withColumn(

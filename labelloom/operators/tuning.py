@@ -6,21 +6,27 @@ for the sample; each trial only weighs, ranks and cuts them again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from labelloom.functions.arrays import unnest
 from labelloom.operators import ranking
+from labelloom.plans.joins import lookup_join
+from labelloom.plans.scratch import materialize, positions
 
 TRIAL_SCHEMA = (
     "trial_id bigint, top_k int, threshold double, "
     "tfidf_weight double, wordnet_weight double, keyword_weight double"
 )
 SAMPLE = 200
-MAX_TRIALS = 10_000
+#: Trials that meet a pair in one join key.
+TRIAL_BLOCK = 1_000
 
 
-def sample(df: DataFrame, key: str = "company_id", n: int = SAMPLE, seed: int = 42) -> DataFrame:
-    """A repeatable sample of ``n`` companies, the same for any partitioning."""
+def sample(df: DataFrame, key: str = "company_id", n: int | None = SAMPLE, seed: int = 42) -> DataFrame:
+    """A repeatable sample of ``n`` companies, the same for any partitioning;
+    ``n=None`` takes all."""
+    if n is None:
+        return df
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     return df.orderBy(order, key).limit(n)
 
@@ -44,22 +50,19 @@ def search_space(spark, n_trials: int = 30, seed: int = 42) -> DataFrame:
     return ranking.normalized_weights(relative, "t", "w", "k").drop("t", "w", "k")
 
 
-def _trial_array(trials: DataFrame):
-    """The trial list as a literal; a search has few trials."""
-    rows = trials.limit(MAX_TRIALS + 1).collect()
-    if len(rows) > MAX_TRIALS:
-        raise ValueError(f"At most {MAX_TRIALS} trials per search")
-    return F.array(*[
-        F.struct(
-            F.lit(r["trial_id"]).cast("bigint").alias("trial_id"),
-            F.lit(r["top_k"]).cast("int").alias("top_k"),
-            F.lit(r["threshold"]).cast("double").alias("threshold"),
-            F.lit(r["tfidf_weight"]).cast("double").alias("tfidf_weight"),
-            F.lit(r["wordnet_weight"]).cast("double").alias("wordnet_weight"),
-            F.lit(r["keyword_weight"]).cast("double").alias("keyword_weight"),
-        )
-        for r in rows
-    ])
+def with_trials(rows: DataFrame, trials: DataFrame, spread: str) -> DataFrame:
+    """Every row under every trial.
+
+    That product is what a search evaluates.  Trials are dealt to blocks and
+    joined by block: broadcast if their checked size allows it, else by a
+    salted shuffle, so any number of them will do.
+    """
+    blocks = -(-trials.count() // TRIAL_BLOCK)
+    if not blocks:
+        return rows.join(trials.withColumn("_block", F.lit(0)), F.lit(False)).drop("_block")
+    dealt = trials.withColumn("_block", F.pmod(F.xxhash64("trial_id"), F.lit(blocks)))
+    each = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    return lookup_join(each, dealt, ["_block"], spread=spread).drop("_block")
 
 
 def trial_matches(
@@ -67,10 +70,8 @@ def trial_matches(
 ) -> DataFrame:
     """``(trial_id, key, insurance_labels, insurance_label_scores)``; every
     company has at least one label in every trial."""
-    from labelloom.plans.joins import lookup_join
-
-    grid = _trial_array(trials)
-    per_trial = pairs.select("*", F.inline(grid)).withColumn(
+    trials = trials.selectExpr(*[f"CAST({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in TRIAL_SCHEMA.split(", ")])
+    per_trial = with_trials(pairs, trials, key).withColumn(
         "raw_score",
         ranking.weighted_score(F.col("tfidf_weight"), F.col("wordnet_weight"), F.col("keyword_weight")),
     )
@@ -85,7 +86,7 @@ def trial_matches(
     named = lookup_join(matches, labels.select("label_id", "label"), ["label_id"], spread=key)
     lists = ranking.label_lists(named, keys)
     last = ranking.last_label(labels)
-    out = ids.select(key, F.inline(grid)).select("trial_id", key).join(lists, keys, "left")
+    out = with_trials(ids.select(key), trials.select("trial_id"), key).select("trial_id", key).join(lists, keys, "left")
     return out.withColumns({
         "insurance_labels": F.coalesce("insurance_labels", F.array(F.lit(last))),
         "insurance_label_scores": F.coalesce("insurance_label_scores", F.array(F.lit(0.0))),
@@ -127,8 +128,8 @@ def objective(
 def history(trials: DataFrame, results: DataFrame) -> DataFrame:
     """Trials with their scores, best first."""
     joined = trials.join(results, "trial_id")
-    rank = F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "trial_id"))
-    return joined.withColumn("position", rank).orderBy("position")
+    placed = positions(joined, [F.round("score", 9).desc(), "trial_id"], "position")
+    return placed.withColumn("position", (F.col("position") + 1).cast("int")).orderBy("position")
 
 
 def search(
@@ -136,17 +137,21 @@ def search(
     labels: DataFrame,
     trials: DataFrame,
     key: str = "company_id",
-    n: int = SAMPLE,
+    n: int | None = SAMPLE,
     seed: int = 42,
     **options,
 ) -> DataFrame:
-    """History of all trials on a sample of the companies."""
+    """History of all trials on a sample of the companies (``n=None``: all)."""
     from labelloom.plans import classify
-    from labelloom.plans.scratch import materialize
 
     labels = materialize(labels, "taxonomy")
     chosen = materialize(sample(companies, key, n, seed), "sample")
-    rows, pairs = classify.ensemble_pairs(chosen, labels, key=key, **options)
+    # pairs that no trial can rank among its best need not be built
+    lowest = trials.agg(*[F.min(f"{w}_weight") for w in ("tfidf", "wordnet", "keyword")]).first()
+    best = None
+    if None not in lowest and classify.prunable(ranking.Weights(*lowest)):
+        best = trials.agg(F.max("top_k")).first()[0]
+    rows, pairs = classify.ensemble_pairs(chosen, labels, key=key, best=best, **options)
     pairs = materialize(pairs, "components")
     matches = trial_matches(classify.company_ids(rows, key), pairs, labels, trials, key)
     return history(trials, objective(matches, labels.count()))

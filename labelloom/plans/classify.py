@@ -101,8 +101,8 @@ def top_matches(
 ) -> tuple[DataFrame, DataFrame]:
     """``(ids, matches)`` with the best labels at or above the threshold.
 
-    The company norm does not change the order of a company's labels, so pairs
-    are cut to ``top_k`` before they are joined with it.
+    Ranks are taken on rounded cosines, so pairs meet their company's norm
+    first; that join stays inside the company's bucket.
     """
     ranking.check_top_k(top_k)
     labels = materialize(labels, "taxonomy")
@@ -132,10 +132,16 @@ def ensemble_pairs(
     synonyms: DataFrame = None,
     vocab: DataFrame = None,
     repeats: dict[str, int] = None,
+    best: int = None,
+    fitted: list = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(features, components)``: all similarity components per pair.
 
-    Components do not depend on weights, top_k or threshold.
+    Components do not depend on weights, top_k or threshold.  With ``best``,
+    pairs that share only sectors are cut to that many labels per sector set:
+    no other such pair can be among a company's ``best`` pairs if no weight is
+    negative.  A vocabulary fitted here is appended to ``fitted`` with its
+    number of documents.
     """
     feat.require_columns(labels, "label_id", "label", "cleaned_label")
     if repeats:
@@ -153,10 +159,15 @@ def ensemble_pairs(
     if own:
         n_docs = company_ids(rows, key).count() + labels.count()
         vocab = fit(rows, label_counts, n_docs, settings.min_df, settings.max_df)
+        if fitted is not None:
+            fitted.append((vocab, n_docs))
     table = similarity.label_table(
         labels, vocab, label_counts, similarity.distinct_sector_sets(rows), kinds=("gram", "sectors")
     ).unionByName(sets)
-    pairs = similarity.pair_components(rows, table, key)
+    if best is None:
+        pairs = similarity.pair_components(rows, table, key)
+    else:
+        pairs = similarity.best_pair_components(rows, table, key, best)
     return rows, similarity.with_tfidf(
         pairs, similarity.company_norms(rows, key, vocab, own), key
     )
@@ -174,6 +185,13 @@ def _enough_copies(repeats: dict[str, int], settings: Settings) -> dict[str, int
     return {c: min(n, needed) for c, n in repeats.items()}
 
 
+def prunable(weights: Weights) -> bool:
+    """Whether the order by sector score is the order by weighted sector score:
+    no weight is negative, and none so small that rounding makes new ties."""
+    w = weights.normalized()
+    return min(w.tfidf, w.wordnet, w.keyword) >= 0 and not 0 < w.keyword < 1e-4
+
+
 def ensemble_classify(
     companies: DataFrame,
     labels: DataFrame,
@@ -185,7 +203,8 @@ def ensemble_classify(
     """Full classifier; one output row per company."""
     ranking.check_top_k(settings.top_k)
     labels = materialize(labels, "taxonomy")
-    rows, pairs = ensemble_pairs(companies, labels, settings, key, **options)
+    best = settings.top_k if prunable(settings.weights) else None
+    rows, pairs = ensemble_pairs(companies, labels, settings, key, best=best, **options)
     return rank_and_collect(
         company_ids(rows, key), pairs, labels, settings, key,
         companies if sector_columns is None else sector_columns,

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import DataFrame
 
 from labelloom.plans.classify import Settings, attach, ensemble_classify
+from labelloom.plans.scratch import materialize, scope
 from labelloom.sources import models, sinks
 
 
@@ -18,17 +21,27 @@ def run_classification(
     model_path: str = None,
     **options,
 ) -> DataFrame:
-    """Classify, save the settings, write the full table and the export."""
+    """Classify, save the model, write the full table and the export.
+
+    With ``output_path`` the returned table is the written one, and all
+    intermediate tables are deleted.
+    """
     spark = companies.sparkSession
-    labeled = ensemble_classify(companies, labels, settings, key, **options)
-    out = attach(companies, labeled, key)
-    if output_path:
-        sinks.write_table(out, output_path)
-        out = spark.read.parquet(output_path)
-    if model_path:
-        models.save_settings(spark, settings, model_path)
-    if export_path:
-        sinks.export_labels(out, export_path)
+    with scope(spark) if output_path else nullcontext():
+        fitted: list = []
+        labeled = ensemble_classify(companies, labels, settings, key, fitted=fitted, **options)
+        out = attach(companies, labeled, key)
+        if output_path:
+            sinks.write_table(out, output_path)
+            out = spark.read.parquet(output_path)
+        elif export_path:
+            out = materialize(out, "classified")
+        if model_path:
+            if not fitted:
+                raise ValueError("A run under a given vocabulary fits no model to save")
+            models.save_model(models.Model(*fitted[0], settings), model_path)
+        if export_path:
+            sinks.export_labels(out, export_path)
     return out
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType, StructType
 
 from labelloom.functions.arrays import label_list, score_list
 from labelloom.functions.lexicons import NULL_TOKENS
-from labelloom.plans.scratch import materialize
+from labelloom.plans.scratch import materialize, positions
 
 
 def read_csv(
@@ -18,6 +18,8 @@ def read_csv(
     """CSV with quoted fields; null tokens become null.
 
     Without a schema every column is a string, so no inference pass runs.
+    By default line breaks inside quotes survive, and a file is one task: keep
+    such input in many files, or convert it to Parquet once.
     ``multiline=False`` lets Spark split large files that have no line break
     inside a quoted field.
     """
@@ -66,18 +68,31 @@ def with_company_id(df: DataFrame, name: str = "company_id") -> DataFrame:
 
 
 def with_label_id(df: DataFrame, name: str = "label_id", order_by: str = None) -> DataFrame:
-    """0-based position of each label.
+    """0-based position of each label, in the order of files and lines; its order
+    matters in ties.  With ``order_by`` the position follows that column.
 
-    A taxonomy file is one short list; its order matters only for ties.  With
-    ``order_by`` the position follows that column.
+    Splits are numbered by file name and offset, rows inside their split; only
+    one count per split is added up in one task.
     """
     if name in df.columns:
         return df
     if order_by is not None:
-        position = F.row_number().over(Window.orderBy(order_by)) - 1
-        return df.withColumn(name, position.cast("bigint"))
-    # ids rise in file order; a one-file list is read as one partition
-    return df.withColumn(name, F.monotonically_increasing_id())
+        return positions(df, [order_by], name).withColumn(name, F.col(name).cast("bigint"))
+    rows = materialize(
+        df.withColumns({
+            "_file": F.input_file_name(),
+            "_block": F.input_file_block_start(),
+            "_at": F.monotonically_increasing_id(),
+        }),
+        "taxonomy",
+    )
+    counts = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.orderBy("_file", "_block")
+    before = counts.withColumn("_before", F.sum("_n").over(order) - F.col("_n")).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at")) - 1
+    placed = rows.withColumn("_inside", inside).join(before, ["_file", "_block"])
+    numbered = placed.select(*df.columns, (F.col("_before") + F.col("_inside")).cast("bigint").alias(name))
+    return numbered.orderBy(name)
 
 
 def load_two_tables(

@@ -32,7 +32,7 @@ def export_table(
 ) -> DataFrame:
     """Description and label text, plus sector, niche, category if present."""
     if description_column not in df.columns:
-        raise ValueError(f"Description column '{description_column}' not found")
+        raise ValueError(f"The table has no column {description_column} to export")
     columns = [F.col(description_column).alias("description"), F.col("insurance_label")]
     columns += [F.col(c) for c in ("sector", "niche", "category") if c in df.columns]
     if include_scores and "insurance_label_scores" in df.columns:
