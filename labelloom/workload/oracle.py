@@ -518,6 +518,7 @@ SQL["pipe_ensemble_opt"] = (
     f"WITH {ensemble_ctes(_combined, PART_LABELS, 'optimized', I.PART_SECTORS)}, {scored_ctes(DEFAULT)}" + shown_ensemble()
 )
 SQL["pipe_run"] = SQL["pipe_ensemble_opt"]
+SQL["pipe_score_loaded"] = SQL["pipe_ensemble_opt"]
 SQL["pipe_ensemble_basic"] = (
     f"WITH {ensemble_ctes(_combined, PART_LABELS, 'basic', I.PART_SECTORS)}, {scored_ctes(DEFAULT)}" + shown_ensemble()
 )
@@ -653,15 +654,22 @@ SELECT p.trial_id, round(coverage, 6) AS coverage, round(confidence, 6) AS confi
 FROM p LEFT JOIN d ON p.trial_id = d.trial_id"""
 _sampled = f"SELECT * FROM ({PART_TEXTS}) WHERE company_id IN (SELECT company_id FROM ({_SAMPLE.format('p_partkey', 'part')}))"
 _trials = f"SELECT * FROM {values(I.TRIALS)} v(trial_id, top_k, threshold, wt, ww, wk)"
-_search = f"""WITH {ensemble_ctes(_sampled, PART_LABELS, 'optimized', I.PART_SECTORS)}, {scored_ctes(_trials)},
+
+
+def search_sql(companies: str) -> str:
+    return f"""WITH {ensemble_ctes(companies, PART_LABELS, 'optimized', I.PART_SECTORS)}, {scored_ctes(_trials)},
 obj AS (SELECT trial_id, avg(CASE WHEN len(labels) > 0 THEN 1e0 ELSE 0e0 END) AS coverage, avg(list_sum(scores) / len(scores)) AS confidence FROM res GROUP BY trial_id),
 dv AS (SELECT trial_id, count(DISTINCT label)::DOUBLE / (SELECT count(*) FROM labels) AS diversity FROM kept GROUP BY trial_id),
 fin AS (SELECT *, 0.4e0 * coverage + 0.4e0 * confidence + 0.2e0 * diversity AS score FROM obj JOIN dv USING (trial_id) JOIN params USING (trial_id)),
 hist AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, trial_id) AS position FROM fin)"""
+
+
+_search = search_sql(_sampled)
 SQL["tune_search"] = _search + (
     " SELECT trial_id, position, round(coverage, 6) AS coverage, round(confidence, 6) AS confidence, "
     "round(diversity, 6) AS diversity, round(score, 6) AS score FROM hist"
 )
+SQL["tune_search_full"] = SQL["tune_search"].replace(_search, search_sql(PART_TEXTS))
 SQL["tune_history"] = _search + (
     " SELECT trial_id, top_k, position, round(threshold, 6) AS threshold, round(wt, 6) AS tfidf_weight, round(score, 6) AS score FROM hist"
 )

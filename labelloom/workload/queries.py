@@ -542,6 +542,23 @@ def pipe_score_saved(spark, sf):
     return show(out)
 
 
+@query
+def pipe_score_loaded(spark, sf):
+    """Run and save the model, then load it and score the same table afresh."""
+    path = scratch_path(spark, "model")
+    companies = preprocess.preprocess_companies(inputs.parts(spark, sf))
+    labels = inputs.part_labels(spark, sf)
+    runs.run_classification(
+        companies, labels, PART_SETTINGS, output_path=scratch_path(spark, "run"), model_path=path,
+        synonyms=inputs.synonyms(spark),
+    )
+    model = models.load_model(spark, path)
+    out = scoring.score_with_model(
+        companies, labels, model.vocab, model.settings, synonyms=inputs.synonyms(spark)
+    )
+    return show(out)
+
+
 # --- evaluation ------------------------------------------------------------
 
 @query
@@ -629,10 +646,10 @@ def tune_objective(spark, sf):
     return out.select("trial_id", *[rounded(c) for c in ("coverage", "confidence", "diversity", "score")])
 
 
-def _search(spark, sf):
+def _search(spark, sf, **options):
     return tuning.search(
         inputs.part_texts(spark, sf), inputs.part_labels(spark, sf), inputs.trials(spark),
-        settings=PART_SETTINGS, synonyms=inputs.synonyms(spark),
+        settings=PART_SETTINGS, synonyms=inputs.synonyms(spark), **options,
     )
 
 
@@ -642,6 +659,13 @@ def tune_search(spark, sf):
     return out.select("trial_id", "position", *[rounded(c) for c in ("coverage", "confidence", "diversity", "score")])
 
 
+@query
+def tune_search_full(spark, sf):
+    """The search over all parts."""
+    out = _search(spark, sf, n=None)
+    return out.select("trial_id", "position", *[rounded(c) for c in ("coverage", "confidence", "diversity", "score")])
+
+
 @query
 def tune_history(spark, sf):
     path = scratch_path(spark, "history")

@@ -197,3 +197,43 @@ def test_result_is_the_same_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(joins, "HOT_KEYS", 50)
     monkeypatch.setattr(tfidf, "HOT_KEYS", 50)
     assert result() == want
+
+
+@pytest.mark.parametrize("top_k", [1, 2, 5, 50])
+@pytest.mark.parametrize("threshold", [0.0, 0.05])
+def test_pruned_pairs_give_the_same_ranks(spark, top_k, threshold):
+    sectors = {"s1": ["alpha"], "s2": ["beta"], "s3": ["gamma"]}
+    words = ["alpha", "beta", "gamma", "tree", "pet", "shop"]
+    companies = spark.createDataFrame(
+        [(i, " ".join(w for j, w in enumerate(words) if (i * 37 + 11) >> j & 1)) for i in range(40)],
+        "company_id long, combined_features string",
+    )
+    names = [" ".join(w for j, w in enumerate(words) if i >> j & 1) for i in range(1, 40)]
+    labels = spark.createDataFrame(
+        [(i, f"label{i} {n}", n) for i, n in enumerate(names)], "label_id long, label string, cleaned_label string"
+    )
+    settings = Settings(top_k=top_k, threshold=threshold, sector_lexicon=sectors)
+    rows, full = classify.ensemble_pairs(companies, labels, settings)
+    _, pruned = classify.ensemble_pairs(companies, labels, settings, best=top_k)
+
+    def ranks(pairs):
+        scored = ranking.ensemble_score(pairs, settings.weights)
+        out = ranking.top_k_pairs(scored, ["company_id"], "raw_score", top_k)
+        return sorted((r["company_id"], r["rank"], r["label_id"], round(r["raw_score"], 9)) for r in out.collect())
+
+    assert ranks(pruned) == ranks(full)
+    assert pruned.count() <= full.count()
+
+
+def test_checks_of_a_size_need_no_single_partition(spark):
+    from labelloom.plans import joins
+
+    big = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
+    small = spark.range(7).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    assert joins.fits_broadcast(small) and not joins.fits_broadcast(small, rows=3)
+    old = joins.BROADCAST_ROWS
+    joins.BROADCAST_ROWS = 3
+    try:
+        assert joins.lookup_join(big, small, ["k"], "id").count() == 1000
+    finally:
+        joins.BROADCAST_ROWS = old

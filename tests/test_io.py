@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom.operators import tfidf, tuning
-from labelloom.plans import classify, preprocess, runs
+from labelloom.operators.ranking import Weights
+from labelloom.plans import classify, preprocess, runs, scratch
 from labelloom.plans.classify import Settings
 from labelloom.plans.scratch import materialize
 from labelloom.sources import models, readers, sinks
@@ -109,3 +110,74 @@ def test_stream_scores_like_a_batch(spark, tmp_path, data):
     key = lambda df: sorted((r["company_id"], r["insurance_label"]) for r in df.collect())
     assert key(got) == key(want) and len(key(got)) == 3
     assert dict(key(got))[2] == "Tree Pruning"
+
+
+def test_settings_come_back_whole(spark, tmp_path):
+    odd = Settings(
+        top_k=2, threshold=0.1, weights=Weights(2.0, 1.0, 0.5), mode="basic", ensure_one_tag=False,
+        require_positive_best=True, bonus_on="cleaned_label", min_df=2, max_df=0.5,
+        sector_lexicon={"b": ["x y", "a"], "a": ["z"]},
+    )
+    for i, settings in enumerate((odd, Settings())):
+        models.save_settings(spark, settings, str(tmp_path / str(i)))
+        loaded = models.load_settings(spark, str(tmp_path / str(i)))
+        assert loaded == settings and type(loaded.min_df) is type(settings.min_df)
+
+
+def test_label_ids_follow_files_and_lines(spark, tmp_path):
+    folder = tmp_path / "taxonomy.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("label\nfirst\nsecond\n")
+    (folder / "b.csv").write_text("label\n" + "".join(f"label number {i}\n" for i in range(500)))
+    labels = readers.with_label_id(readers.load_data(spark, str(folder)))
+    got = [(r["label_id"], r["label"]) for r in labels.collect()]
+    assert got == list(enumerate(["first", "second", *[f"label number {i}" for i in range(500)]]))
+
+
+@pytest.mark.parametrize("size", [1, 1000, 100_000])
+def test_width_follows_the_input(size):
+    gigabytes = size * 10**9
+    width = scratch.width_for(gigabytes, 8)
+    assert 8 <= width and gigabytes / width <= scratch.TARGET_BYTES
+    assert scratch.width_for(1000, 8) == 8
+
+
+def test_scopes_of_two_threads(spark):
+    from threading import Event, Thread
+
+    made, ended, seen = Event(), Event(), []
+
+    def outer():
+        with scratch.scope(spark):
+            mine = scratch.materialize_bucketed(spark.range(10), "mine", "id", 2)
+            made.set()
+            ended.wait(120)
+            seen.append(mine.count())
+
+    thread = Thread(target=outer)
+    thread.start()
+    made.wait(120)
+    with scratch.scope(spark):
+        scratch.materialize(spark.range(3), "other")
+    ended.set()
+    thread.join(120)
+    assert seen == [10]
+
+
+def test_a_stored_run_leaves_no_table(spark, tmp_path):
+    companies = spark.createDataFrame(
+        [(i, f"tree service pruning {i % 3}", "Services") for i in range(20)],
+        "company_id long, combined_features string, sector string",
+    )
+    labels = spark.createDataFrame(
+        [(0, "Tree Services", "tree service"), (1, "Pet Services", "pet service")],
+        "label_id long, label string, cleaned_label string",
+    )
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {scratch.DATABASE}")
+    before = spark.sql(f"SHOW TABLES IN {scratch.DATABASE}").count()
+    path = str(tmp_path / "out")
+    out = runs.run_classification(companies, labels, output_path=path, model_path=str(tmp_path / "model"))
+    assert spark.sql(f"SHOW TABLES IN {scratch.DATABASE}").count() == before
+    assert out.count() == 20
+    model = models.load_model(spark, str(tmp_path / "model"))
+    assert model.n_docs == 22 and model.settings == Settings()
