@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelloom.llm import chat, decontamination, licenses, lines, lm, packing, pii, quality, sharding, simhash
 from labelloom.llm.common import table
+from labelloom.llm.oracle import SQL  # noqa: F401  (read by the driver contract)
 from labelloom.plans.scratch import materialize
 
 
@@ -104,5 +105,3 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
 }
-
-SQL: dict[str, str] = {}
