@@ -126,7 +126,7 @@ def canonical_lines(text: Column) -> Column:
     for seen, kept in SPELLINGS:
         out = F.replace(out, F.lit(seen), F.lit(kept))
     out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
-    return F.transform(F.split(out, "\n"), F.trim)
+    return F.transform(F.split(out, "\n"), lambda x: F.trim(x))
 
 
 def digest(canonical: Column) -> Column:
