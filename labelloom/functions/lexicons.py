@@ -32,43 +32,57 @@ PROTECTED_PHRASES = [
 ]
 
 # Legal forms deleted from company names, in matching order.
-LEGAL_SUFFIXES = (
-    "Inc LLC Ltd Corp Corporation Limited GmbH PLC LP LLP SA AG BV SRL SpA NV Co"
-).split()
+LEGAL_SUFFIXES = [
+    "Inc", "LLC", "Ltd", "Corp", "Corporation", "Limited", "GmbH", "PLC",
+    "LP", "LLP", "SA", "AG", "BV", "SRL", "SpA", "NV", "Co",
+]
 
 # English stop words (the public NLTK list, without the
 # contractions, which cannot occur once apostrophes have become spaces).
-ENGLISH_STOP_WORDS = """
-i me my myself we our ours ourselves you your yours yourself yourselves he him
-his himself she her hers herself it its itself they them their theirs
-themselves what which who whom this that these those am is are was were be been
-being have has had having do does did doing a an the and but if or because as
-until while of at by for with about against between into through during before
-after above below to from up down in out on off over under again further then
-once here there when where why how all any both each few more most other some
-such no nor not only own same so than too very s t can will just don should now
-d ll m o re ve y ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn
-needn shan shouldn wasn weren won wouldn
-""".split()
+ENGLISH_STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you",
+    "your", "yours", "yourself", "yourselves", "he", "him", "his",
+    "himself", "she", "her", "hers", "herself", "it", "its", "itself",
+    "they", "them", "their", "theirs", "themselves", "what", "which", "who",
+    "whom", "this", "that", "these", "those", "am", "is", "are", "was",
+    "were", "be", "been", "being", "have", "has", "had", "having", "do",
+    "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or",
+    "because", "as", "until", "while", "of", "at", "by", "for", "with",
+    "about", "against", "between", "into", "through", "during", "before",
+    "after", "above", "below", "to", "from", "up", "down", "in", "out",
+    "on", "off", "over", "under", "again", "further", "then", "once",
+    "here", "there", "when", "where", "why", "how", "all", "any", "both",
+    "each", "few", "more", "most", "other", "some", "such", "no", "nor",
+    "not", "only", "own", "same", "so", "than", "too", "very", "s", "t",
+    "can", "will", "just", "don", "should", "now", "d", "ll", "m", "o",
+    "re", "ve", "y", "ain", "aren", "couldn", "didn", "doesn", "hadn",
+    "hasn", "haven", "isn", "ma", "mightn", "mustn", "needn", "shan",
+    "shouldn", "wasn", "weren", "won", "wouldn",
+]
 
 # Insurance stop words, and the words that are always kept.
-INSURANCE_STOP_WORDS = """
-insurance insure policy policies coverage claim claims premium premiums risk
-risks underwrite underwriting
-""".split()
-KEPT_WORDS = "insurance risk liability coverage policy claim premium".split()
+INSURANCE_STOP_WORDS = [
+    "insurance", "insure", "policy", "policies", "coverage", "claim",
+    "claims", "premium", "premiums", "risk", "risks", "underwrite",
+    "underwriting",
+]
+KEPT_WORDS = [
+    "insurance", "risk", "liability", "coverage", "policy", "claim",
+    "premium",
+]
 
 STOP_WORDS = [
     w for w in ENGLISH_STOP_WORDS + INSURANCE_STOP_WORDS if w not in KEPT_WORDS
 ]
 
 # Industry keywords that become is_<keyword> flags.
-INDUSTRY_KEYWORDS = """
-technology healthcare finance insurance retail manufacturing energy education
-transportation media telecommunications hospitality construction liability
-property casualty life health commercial residential automotive cyber
-underwriting
-""".split()
+INDUSTRY_KEYWORDS = [
+    "technology", "healthcare", "finance", "insurance", "retail",
+    "manufacturing", "energy", "education", "transportation", "media",
+    "telecommunications", "hospitality", "construction", "liability",
+    "property", "casualty", "life", "health", "commercial", "residential",
+    "automotive", "cyber", "underwriting",
+]
 
 # Insurance sectors and the keywords that point to them.
 SECTOR_KEYWORDS = {
@@ -144,6 +158,3 @@ COLUMN_REPEATS = {
     "cleaned_category": 20,
     "cleaned_niche": 25,
 }
-
-SYNONYM_SCHEMA = "term string, synset_rank int, lemma_rank int, lemma string"
-LEMMA_SCHEMA = "surface string, lemma string"

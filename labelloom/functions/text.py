@@ -9,6 +9,8 @@ from pyspark.sql import Column, functions as F
 from labelloom.functions import lexicons
 from labelloom.functions.arrays import SPACE, WORD, let, words
 
+# Fixed value: what counts as a link or an address.  Spelled for Java: classes
+# instead of \S and \w, which are ASCII there, and possessive quantifiers.
 URL_OR_MAIL = (
     rf"http[^{SPACE[1:-1]}]+|www[^{SPACE[1:-1]}]+"
     r"|[\p{L}\p{N}_.-]++@[\p{L}\p{N}_.-]+"
@@ -94,6 +96,7 @@ def mark_phrases(text: Column) -> Column:
 
         return step
 
+    # Fixed value: the form of the placeholder
     for i, phrase in enumerate(lexicons.PROTECTED_PHRASES):
         text = let(text, mark(phrase, f"TERM_{i}_PLACEHOLDER"))
     return text
@@ -141,7 +144,3 @@ def clean_tokens(
 def clean_text(text: Column, **options) -> Column:
     """Cleaned text with identity lemmas; null gives ``""``."""
     return F.array_join(clean_tokens(text, **options), " ")
-
-
-def long_words(text: Column) -> Column:
-    return F.filter(words(text), lambda w: F.length(w) > 3)

@@ -156,6 +156,7 @@ def exact_median(values: DataFrame, column: str, slices: int = 2000, small: int
         below = kept[0][0]
         counted = counted.where(v.between(kept[0][1], kept[0][2]))
     at, found = below, []
+    # at most ``small`` values are left by now, so the limit cuts none of them
     for r in counted.orderBy("v").limit(small).collect():
         found += [float(r["v"]) for m in middle if at <= m < at + r["n"]]
         at += r["n"]

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 UNCLASSIFIED = "Unclassified"
+# Label and score of a company that nothing else fits.
 GENERIC_LABEL = "General Insurance"
 GENERIC_SCORE = 0.1
 # ranks must not depend on the order in which doubles were added

@@ -59,6 +59,37 @@ def _finish(ids: DataFrame, matches: DataFrame, key: str) -> DataFrame:
     return ranking.with_label_text(ids.join(lists, key, "left"))
 
 
+@dataclass(frozen=True)
+class PreparedLabels:
+    """The label side under a fixed vocabulary, for many batches of companies."""
+
+    features: DataFrame
+    grams: DataFrame
+    sets: DataFrame = None
+
+
+def prepare_labels(
+    labels: DataFrame,
+    vocab: DataFrame,
+    settings: Settings = None,
+    label_text: str = "cleaned_label",
+    synonyms: DataFrame = None,
+) -> PreparedLabels:
+    """Write label rows and their norms once; without settings for TF-IDF only."""
+    counts = materialize(tfidf.term_counts(labels, "label_id", label_text), "label_counts")
+    grams = similarity.label_table(labels, vocab, counts, kinds=("gram",))
+    if settings is None:
+        return PreparedLabels(labels, grams)
+    features = _label_features(labels, settings, synonyms)
+    return PreparedLabels(features, grams, similarity.label_table(features, kinds=("word", "syn")))
+
+
+def _label_features(labels: DataFrame, settings: Settings, synonyms: DataFrame) -> DataFrame:
+    return materialize(
+        similarity.label_features(labels, settings.mode, settings.sectors(), synonyms), "label_features"
+    ).withColumn("label", F.col(settings.bonus_on))
+
+
 # --- TF-IDF only -----------------------------------------------------------
 
 def tfidf_pairs(
@@ -70,15 +101,20 @@ def tfidf_pairs(
     vocab: DataFrame = None,
     min_df: float = 1,
     max_df: float = 0.9,
+    prepared: PreparedLabels = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(features, dot products, norms)``; a given ``vocab`` is used as is."""
+    """``(features, dot products, norms)``; a given ``vocab`` is used as is, and
+    with it ``prepared`` labels."""
     feat.require_columns(labels, "label_id", label_text)
     rows = similarity.company_features(companies, key, text, kinds=("gram",))
-    label_counts = materialize(tfidf.term_counts(labels, "label_id", label_text), "label_counts")
     own = vocab is None
-    if own:
-        vocab = fit(rows, label_counts, companies.count() + labels.count(), min_df, max_df)
-    table = similarity.label_table(labels, vocab, label_counts, kinds=("gram",))
+    if prepared is None:
+        label_counts = materialize(tfidf.term_counts(labels, "label_id", label_text), "label_counts")
+        if own:
+            vocab = fit(rows, label_counts, companies.count() + labels.count(), min_df, max_df)
+        table = similarity.label_table(labels, vocab, label_counts, kinds=("gram",))
+    else:
+        table = prepared.grams
     grams = rows.where(F.col("kind") == "gram").select(key, "term", "w")
     matched = lookup_join(grams, table.select("term", "label_id", "value"), ["term"], spread=key)
     dots = matched.groupBy(key, "label_id").agg(F.sum(F.col("w") * F.col("value")).alias("dot"))
@@ -134,6 +170,7 @@ def ensemble_pairs(
     repeats: dict[str, int] = None,
     best: int = None,
     fitted: list = None,
+    prepared: PreparedLabels = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(features, components)``: all similarity components per pair.
 
@@ -146,24 +183,30 @@ def ensemble_pairs(
     feat.require_columns(labels, "label_id", "label", "cleaned_label")
     if repeats:
         companies = companies.withColumn(text, feat.combined_text(_enough_copies(repeats, settings)))
-    labels = materialize(
-        similarity.label_features(labels, settings.mode, settings.sectors(), synonyms), "label_features"
-    ).withColumn("label", F.col(settings.bonus_on))
-    sets = similarity.label_table(labels, kinds=("word", "syn"))
+    if prepared is None:
+        labels = _label_features(labels, settings, synonyms)
+        sets = similarity.label_table(labels, kinds=("word", "syn"))
+    else:
+        labels, sets = prepared.features, prepared.sets
     rows = similarity.company_features(
         companies, key, text, settings.mode, sectors=settings.sectors(),
         synonyms=synonyms, repeats=repeats, wanted=sets,
     )
-    label_counts = materialize(tfidf.term_counts(labels, "label_id", "cleaned_label"), "label_counts")
     own = vocab is None
-    if own:
-        n_docs = company_ids(rows, key).count() + labels.count()
-        vocab = fit(rows, label_counts, n_docs, settings.min_df, settings.max_df)
-        if fitted is not None:
-            fitted.append((vocab, n_docs))
-    table = similarity.label_table(
-        labels, vocab, label_counts, similarity.distinct_sector_sets(rows), kinds=("gram", "sectors")
-    ).unionByName(sets)
+    if prepared is None:
+        label_counts = materialize(tfidf.term_counts(labels, "label_id", "cleaned_label"), "label_counts")
+        if own:
+            n_docs = company_ids(rows, key).count() + labels.count()
+            vocab = fit(rows, label_counts, n_docs, settings.min_df, settings.max_df)
+            if fitted is not None:
+                fitted.append((vocab, n_docs))
+        grams = similarity.label_table(labels, vocab, label_counts, kinds=("gram",))
+    else:
+        grams = prepared.grams
+    sectors = similarity.label_table(
+        labels, company_sets=similarity.distinct_sector_sets(rows), kinds=("sectors",)
+    )
+    table = grams.unionByName(sectors).unionByName(sets)
     if best is None:
         pairs = similarity.pair_components(rows, table, key)
     else:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from labelloom.plans.classify import Settings, ensemble_classify, tfidf_classify
+from labelloom.plans.classify import Settings, ensemble_classify, prepare_labels, tfidf_classify
 from labelloom.plans.scratch import scope
 
 
@@ -35,14 +35,19 @@ def score_stream(
 ) -> StreamingQuery:
     """Score every micro-batch and write it to a folder of its own.
 
+    Label rows and norms are made once, before the stream starts.
     A batch that is replayed after a failure overwrites its folder, so each
     company appears once.
     """
+    prepared = prepare_labels(
+        labels, vocab, options.get("settings"), options.get("label_text", "cleaned_label"), options.get("synonyms")
+    )
+
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         with scope(batch.sparkSession):
-            scored = score_with_model(batch, labels, vocab, **options)
+            scored = score_with_model(batch, labels, vocab, prepared=prepared, **options)
             scored.write.mode("overwrite").parquet(f"{output_path}/batch={batch_id}")
 
     return (
