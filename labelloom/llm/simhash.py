@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from labelloom.llm.graph import components
+from labelloom.plans.joins import fits_broadcast
 from labelloom.plans.scratch import materialize
 
 SHINGLE = 4
@@ -105,28 +106,34 @@ def _dealt_again(rows: DataFrame, outer: list[int], refine: Callable) -> tuple[D
     return rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))), sorted({x for v in finer.values() for x in v})
 
 
-def buckets(fps: DataFrame, first: list[int], refine: Callable, bucket: int = BUCKET) -> DataFrame:
-    """Buckets of two or more distinct fingerprints: at (mask, key), fps.
+def buckets(fps: DataFrame, first: list[int], refine: Callable, radius: int, bucket: int = BUCKET) -> DataFrame:
+    """Buckets that may hold a pair within the radius: at (mask, key), fps.
 
     ``first`` are masks such that fingerprints to be compared agree on one of
     them, and ``refine`` gives such masks over the bits that one leaves open.
+    Buckets of two are known from their least and greatest member; only those of
+    more are joined with their members again.
     """
     keys = F.array(*[F.struct(F.lit(m).alias("mask"), F.col("fp").bitwiseAND(m).alias("key")) for m in first])
     rows, outer, out = fps.select("fp", F.inline(keys)), first, []
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+    at = F.struct("mask", "key").alias("at")
     while True:
         last = all(len(_open(m)) <= OPEN_BITS for m in outer)
-        sizes = rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = rows.join(sizes, ["mask", "key"])
+        sizes = rows.groupBy("mask", "key").agg(
+            F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")
+        )
+        sizes = materialize(sizes.where((F.col("n") > 2) | ((F.col("n") == 2) & near)), "bucket_sizes")
+        out.append(sizes.where("n = 2").select(at, F.array("a", "b").alias("fps")))
+        more = sizes.where("n > 2").select("mask", "key", "n")
+        shared = rows.join(F.broadcast(more) if fits_broadcast(more) else more, ["mask", "key"])
         small = shared if last else shared.where(F.col("n") <= bucket)
         # a key of its own, so that Spark may split the skewed join before it
-        small = small.select("fp", F.struct("mask", "key").alias("at"))
-        out.append(small.groupBy("at").agg(F.collect_list("fp").alias("fps")))
-        if last:
+        out.append(small.select("fp", at).groupBy("at").agg(F.collect_list("fp").alias("fps")))
+        if last or not more.where(F.col("n") > bucket).head(1):
             break
         large = materialize(shared.where(F.col("n") > bucket).select("fp", "mask"), "large_buckets")
         hot = [r["mask"] for r in large.select("mask").distinct().collect()]
-        if not hot:
-            break
         rows, outer = _dealt_again(large, hot, refine)
     return reduce(DataFrame.unionAll, out)
 
@@ -164,7 +171,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     def covering(positions):
         return masks(positions, radius)
 
-    found = buckets(fps, covering(list(range(64))), covering, bucket)
+    found = buckets(fps, covering(list(range(64))), covering, radius, bucket)
     return found.select("fps").mapInArrow(compare, "a long, b long")
 
 
