@@ -263,7 +263,7 @@ def _best(seen, names, min_cover: int) -> Condition | None:
 
 
 def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, s and quality of the labelled documents."""
+    """doc_id, s and quality of the labelled documents.  The statistics are made
+    before the join, so that small rows are shuffled and not the texts."""
     marks = labels.select("doc_id", "quality").where("quality IS NOT NULL AND doc_id IS NOT NULL")
-    texts = docs.select("doc_id", "text").join(marks, "doc_id")
-    return texts.select("doc_id", "quality", statistics(F.col("text")).alias("s"))
+    return docs.select("doc_id", statistics(F.col("text")).alias("s")).join(marks, "doc_id").select("doc_id", "quality", "s")
