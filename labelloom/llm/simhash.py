@@ -37,6 +37,8 @@ SHINGLE = 4
 SEED = 42
 RADIUS = 4
 BUCKET = 4096
+#: Buckets that may be broadcast to find their members; more are joined by shuffle.
+LISTED = 600_000
 OPEN_BITS = 16
 _CHUNK = 1 << 15
 
@@ -126,7 +128,8 @@ def buckets(fps: DataFrame, first: list[int], refine: Callable, radius: int, buc
         sizes = materialize(sizes.where((F.col("n") > 2) | ((F.col("n") == 2) & near)), "bucket_sizes")
         out.append(sizes.where("n = 2").select(at, F.array("a", "b").alias("fps")))
         more = sizes.where("n > 2").select("mask", "key", "n")
-        shared = rows.join(F.broadcast(more) if fits_broadcast(more) else more, ["mask", "key"])
+        small = fits_broadcast(more, rows=LISTED)
+        shared = rows.join(F.broadcast(more) if small else more, ["mask", "key"])
         small = shared if last else shared.where(F.col("n") <= bucket)
         # a key of its own, so that Spark may split the skewed join before it
         out.append(small.select("fp", at).groupBy("at").agg(F.collect_list("fp").alias("fps")))
