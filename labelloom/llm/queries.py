@@ -87,7 +87,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of a repeated line, and the one that is kept."""
-    found = lines.repeated_lines(table(spark, sf_dir, "documents"))
+    found = lines.repeated_lines(table(spark, sf_dir, "documents"), shortest=0)
     return found.select(
         "doc_id", F.col("line").cast("long").alias("line"), "kept_doc_id", F.col("kept_line").cast("long").alias("kept_line"), "kept"
     )

@@ -129,6 +129,52 @@ def test_lines_against_brute_force(spark):
     assert any(not w[4] for w in want)
 
 
+def named(i):
+    """A word of letters: digits of lines count as one."""
+    return "".join(chr(97 + int(c)) for c in str(i))
+
+
+def test_line_candidates_reach_every_pair_at_the_similarity(spark):
+    rng = random.Random(12)
+
+    def edit(words, edits):
+        words = list(words)
+        for _ in range(edits):
+            at, kind = rng.randrange(len(words)), rng.randrange(3)
+            words[at : at + (kind != 1)] = [] if kind == 0 else [named(rng.randrange(10**6))]
+        return words
+
+    texts: list[list[str]] = []
+    for n in [*range(5, 33), *range(36, 200, 30)] * 2:
+        words = [named(rng.randrange(3000)) for _ in range(n)]
+        texts += [words, edit(words, max(1, int(0.2 * n))), edit(words, 1)]
+    distinct = {x[2]: x[3].astype("<u4") for x in lines.line_hashes([" ".join(w) for w in texts])}
+    digests, found = {d: i for i, d in enumerate(distinct)}, list(distinct.values())
+    near = {(j, i) for i in range(len(found)) for j in range(i) if lines.similar(found[i], found[j])}
+    rows = [(d, w.tobytes()) for d, w in distinct.items()]
+    table = spark.createDataFrame(rows, "digest binary, words binary")
+    got = {tuple(sorted((digests[bytes(r["a"])], digests[bytes(r["b"])]))) for r in lines.near_links(table).collect()}
+    assert got <= near and len(near) > 100
+    upto = {p for p in near if max(len(found[p[0]]), len(found[p[1]])) <= lines.RUNS}
+    assert upto <= got and len(got) >= 0.96 * len(near)
+
+
+def test_short_lines_count_by_their_exact_text(spark):
+    docs = spark.createDataFrame([(1, "Menu\n***\n\nHome page"), (2, "menu!\n***\nhome"), (3, "---")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["line"], r["kept"]) for r in lines.repeated_lines(docs, shortest=0).collect())
+    assert got == [(1, 0, True), (1, 1, True), (2, 0, False), (2, 1, False)]
+    assert lines.repeated_lines(docs).count() == 0 and lines.dedup_lines(docs).count() == 3
+
+
+def test_hot_line_keys_are_searched_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SMALL", 2)
+    monkeypatch.setattr(lines, "BUCKET", 8)
+    words = [named(i) for i in range(20)]
+    texts = [(i, " ".join(words[:18] + ["x" + named(i), "y" + named(i)])) for i in range(40)] + [(99, " ".join(words[:8] + words[:1] * 12))]
+    rows = lines.repeated_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(40)) and {r["kept_doc_id"] for r in rows} == {0}
+
+
 def test_line_dedup_edges(spark):
     docs = edge_docs(spark)
     out = lines.dedup_lines(docs)
