@@ -227,6 +227,20 @@ def test_near_copies_against_brute_force(spark):
     assert len(kept & {1000 + i for i in some if root[ids.index(1000 + i)] == root[ids.index(i)]}) <= 1
 
 
+def test_shortened_and_extended_copies_are_found():
+    rng = random.Random(8)
+    found = total = 0
+    for n in [100, 300, 1000] * 40:
+        words = [named(rng.randrange(5000)) for _ in range(n)]
+        more = words + [named(rng.randrange(5000)) for _ in range(int(0.23 * n))]
+        for other in (words[: n - int(0.19 * n)], words[int(0.19 * n) :], more):
+            a, b = (copies.shingle_set(" ".join(w)) for w in (words, other))
+            if copies.jaccard(a, b):
+                total += 1
+                found += bool(set(copies.band_keys(a)) & set(copies.band_keys(b)))
+    assert total > 300 and found >= 0.98 * total
+
+
 def test_near_copy_edges(spark):
     docs = edge_docs(spark)
     out = copies.drop_near_copies(docs)
