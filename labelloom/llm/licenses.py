@@ -117,12 +117,19 @@ THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 ]
 
 _SCHEMA = "license string, text string"
+# A copyright statement has a mark, a year or a name after the word, and ends with its
+# line or where a known text begins; "copyright holders", "owner" or "notice" is text.
+_STATEMENT = (
+    r"(?m)^[ \t*#/;-]*(?:copyright(?!\s+(?:holder|owner|notice|law|license|licence|and\b|or\b|in\b|to\b))\b"
+    r"|\(c\)|©|all rights reserved)"
+    r"(?:(?!permission is hereby|permission to use|redistribution and use)[^\n])*"
+)
 
 
 def canonical_lines(text: Column) -> Column:
     """Canonical form of every line of a text; lines without content are ''."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(out, r"(?m)^[ \t*#/;-]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*", "")
+    out = F.regexp_replace(out, _STATEMENT, "")
     for seen, kept in SPELLINGS:
         out = F.replace(out, F.lit(seen), F.lit(kept))
     out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
@@ -134,7 +141,11 @@ def digest(canonical: Column) -> Column:
 
 
 def whole(lines: Column) -> Column:
-    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+    out = F.array_join(F.filter(lines, lambda x: x != ""), " ")
+    for seen, kept in SPELLINGS:  # those of two words may be broken between lines
+        if " " in seen:
+            out = F.replace(out, F.lit(seen), F.lit(kept))
+    return out
 
 
 def known_digests(texts: DataFrame) -> DataFrame:
@@ -149,9 +160,11 @@ def known_digests(texts: DataFrame) -> DataFrame:
 
 
 def builtin_texts(spark: SparkSession) -> DataFrame:
-    """The notices and texts above: a few hundred rows."""
+    """The notices and texts above, the texts also with their title: a few hundred rows."""
     notices = [(k, n.format(name)) for k, names in NAMES for name in [k, *names] for n in NOTICES]
-    return spark.createDataFrame([*notices, *TEXTS], _SCHEMA)
+    names = dict(NAMES)
+    titled = [(k, f"{the}{name}\n\n{t}") for k, t in TEXTS for name in [k, *names[k]] for the in ("", "The ")]
+    return spark.createDataFrame([*notices, *TEXTS, *titled], _SCHEMA)
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:

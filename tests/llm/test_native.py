@@ -1,6 +1,7 @@
 """PII, quality rules, chat formatting, licences and sharding."""
 
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -140,6 +141,21 @@ def test_licenses(spark):
     assert [(r["doc_id"], r["line"], r["license"]) for r in licenses.scan(docs, known).collect()] == [(1, -1, "MIT")]
 
 
+def test_whole_licenses_in_any_wrapping_and_with_a_title(spark):
+    known = licenses.known_digests(licenses.builtin_texts(spark))
+    texts, want = [], []
+    for name, text in licenses.TEXTS:
+        title = dict(licenses.NAMES)[name][0]
+        flat = " ".join(text.split())
+        for body in (text, flat, textwrap.fill(flat, 40), textwrap.fill(flat, 78)):
+            for head in ("", f"{title}\n\n", f"{title}\n\nCopyright (c) 2020 Jo Doe\n", "Copyright 2020 Jo Doe "):
+                texts.append((len(texts), head + body))
+                want.append((len(want), name))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = licenses.scan(docs, known).where("line = -1").collect()
+    assert sorted((r["doc_id"], r["license"]) for r in rows) == want
+
+
 def check_rows_law(rows, shards=sharding.SHARDS):
     by = {}
     for r in rows:
