@@ -160,7 +160,7 @@ def runs_of(ids: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
             for at, distance in seeds.tolist():
                 if distance == known and low <= at and at + length <= high:
                     continue
-                if (ids[at : at + length] != ids[at + distance : at + length + distance]).any():
+                if (ids[at : at + length] != padded[at + distance : at + length + distance]).any():
                     continue  # equal sums modulo PRIME only
                 known, (low, high) = distance, _agreement(ids, at, at + length, distance)
                 # a shorter period of the same stretch was found before
