@@ -12,7 +12,7 @@ from tests.llm.common import SF, edge_docs, no_docs
 def test_every_operator_is_registered():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names
-    assert [len([n for n in names if n.startswith(f"op{i}_")]) for i in range(1, 11)] == [1] * 10
+    assert [len([n for n in names if n.startswith(f"op{i}_")]) for i in range(1, 14)] == [1] * 13
 
 
 def test_stages_work_on_what_is_kept(spark):
