@@ -13,6 +13,11 @@ from labelloom.operators.features import require_columns
 from labelloom.plans.joins import HOT_KEYS, fits_broadcast, hot_keys
 from labelloom.plans.scratch import shuffle_width
 
+#: Bits of one block of a term filter (what one bitmap holds), and of all of them:
+#: 32 MB at most are broadcast.
+BLOCK_BITS = 1 << 15
+FILTER_BITS = 1 << 28
+
 
 def corpus(
     companies: DataFrame,
@@ -88,6 +93,35 @@ def kept_terms(vocab: DataFrame) -> DataFrame:
     return vocab.where(F.col("idf").isNotNull())
 
 
+def term_filter(terms: DataFrame, count: int) -> tuple[DataFrame, int]:
+    """Bitmaps ``(_block, _bits)`` of the hashed ``terms`` and their length in bits.
+
+    About sixteen bits a term up to ``FILTER_BITS``, so that they may be
+    broadcast whatever ``count`` is; more terms only make the filter less sharp.
+    """
+    size = BLOCK_BITS
+    while size < min(16 * count, FILTER_BITS):
+        size *= 2
+    slot = F.pmod(F.xxhash64("term"), F.lit(size))
+    blocks = terms.groupBy(F.floor(slot / BLOCK_BITS).alias("_block")).agg(
+        F.bitmap_construct_agg(slot % BLOCK_BITS).alias("_bits")
+    )
+    return blocks, size
+
+
+def with_filter_bit(postings: DataFrame, blocks: DataFrame, size: int, name: str) -> DataFrame:
+    """``postings`` with ``name``: false only for terms that the filter has not seen."""
+    slot = F.pmod(F.xxhash64("term"), F.lit(size))
+    place = slot % BLOCK_BITS
+    octet = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10)
+    return (
+        postings.withColumn("_block", F.floor(slot / BLOCK_BITS))
+        .join(F.broadcast(blocks), "_block", "left")
+        .withColumn(name, F.coalesce(F.getbit(octet.cast("long"), (place % 8).cast("int")) == 1, F.lit(False)))
+        .drop("_block", "_bits")
+    )
+
+
 def weigh(
     postings: DataFrame,
     vocab: DataFrame,
@@ -102,34 +136,37 @@ def weigh(
 
     ``own_corpus`` says that ``vocab`` was counted on these postings.  Then its
     ``df`` already tells which terms are hot, and the many terms that occur in
-    one document only, which share one idf, need not take part in the join.
+    one document only, which share one idf, stay out of the shuffle: a broadcast
+    bitmap of the terms of several documents tells nearly all of them.
     """
     known = kept_terms(vocab).select("term", "idf")
     if fits_broadcast(known):
         return postings.join(F.broadcast(known), "term")
-    if own_corpus:
-        total = vocab.agg(F.sum("df")).first()[0]
-        hot = vocab.where(F.col("df") * HOT_KEYS > total).select("term")
-    else:
-        hot = hot_keys(postings, ["term"]).select("term")
-    hot_idf = known.join(F.broadcast(hot), "term", "left_semi")
-    hot_part = postings.join(F.broadcast(hot_idf), "term")
-    cold = postings.join(F.broadcast(hot), "term", "left_anti")
     if not own_corpus:
-        return hot_part.unionByName(cold.join(known, "term"))
+        hot = hot_keys(postings, ["term"]).select("term")
+        hot_idf = known.join(F.broadcast(hot), "term", "left_semi")
+        cold = postings.join(F.broadcast(hot), "term", "left_anti")
+        return postings.join(F.broadcast(hot_idf), "term").unionByName(cold.join(known, "term"))
+    total, several = vocab.agg(F.sum("df"), F.count(F.when(F.col("df") > 1, 1))).first()
     single = vocab.where(F.col("df") == 1).select("idf").first()
+    single_idf = F.lit(single["idf"] if single else None).cast("double")
     repeated = vocab.where(F.col("df") > 1).select("term", "idf", F.lit(True).alias("_seen"))
-    cold_part = (
-        cold.join(repeated, "term", "left")
-        .withColumn(
-            "idf",
-            F.when(F.col("_seen"), F.col("idf"))
-            .otherwise(F.lit(single["idf"] if single else None).cast("double")),
-        )
-        .where(F.col("idf").isNotNull())
-        .drop("_seen")
+    hot = repeated.join(
+        F.broadcast(vocab.where(F.col("df") * HOT_KEYS > total).select("term")), "term", "left_semi"
+    ).withColumnRenamed("_seen", "_hot")
+    blocks, size = term_filter(repeated, several)
+    marked = with_filter_bit(postings.join(F.broadcast(hot), "term", "left"), blocks, size, "_several")
+    is_hot = F.coalesce("_hot", F.lit(False))
+    local = marked.where(is_hot | ~F.col("_several")).withColumn(
+        "idf", F.when(is_hot, F.col("idf")).otherwise(single_idf)
+    )
+    shuffled = (
+        marked.where(~is_hot & F.col("_several")).drop("idf")
+        .join(repeated, "term", "left")
+        .withColumn("idf", F.when(F.col("_seen"), F.col("idf")).otherwise(single_idf))
     )
-    return hot_part.unionByName(cold_part)
+    both = local.drop("_hot", "_several").unionByName(shuffled.drop("_hot", "_several", "_seen"))
+    return both.where(F.col("idf").isNotNull())
 
 
 def norms(weights: DataFrame, key: str, weight: str = "weight") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from labelloom.functions import lexicons
 from labelloom.operators import features as feat
-from labelloom.operators import ranking, similarity, tfidf
+from labelloom.operators import pruning, ranking, similarity, tfidf
 from labelloom.operators.ranking import Weights
 from labelloom.plans.joins import lookup_join
 from labelloom.plans.scratch import materialize
@@ -92,7 +92,7 @@ def _label_features(labels: DataFrame, settings: Settings, synonyms: DataFrame)
 
 # --- TF-IDF only -----------------------------------------------------------
 
-def tfidf_pairs(
+def tfidf_features(
     companies: DataFrame,
     labels: DataFrame,
     key: str = "company_id",
@@ -103,7 +103,7 @@ def tfidf_pairs(
     max_df: float = 0.9,
     prepared: PreparedLabels = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(features, dot products, norms)``; a given ``vocab`` is used as is, and
+    """``(features, label postings, norms)``; a given ``vocab`` is used as is, and
     with it ``prepared`` labels."""
     feat.require_columns(labels, "label_id", label_text)
     rows = similarity.company_features(companies, key, text, kinds=("gram",))
@@ -115,15 +115,19 @@ def tfidf_pairs(
         table = similarity.label_table(labels, vocab, label_counts, kinds=("gram",))
     else:
         table = prepared.grams
-    grams = rows.where(F.col("kind") == "gram").select(key, "term", "w")
-    matched = lookup_join(grams, table.select("term", "label_id", "value"), ["term"], spread=key)
-    dots = matched.groupBy(key, "label_id").agg(F.sum(F.col("w") * F.col("value")).alias("dot"))
-    return rows, dots, similarity.company_norms(rows, key, vocab, own)
+    postings = table.select("term", "label_id", "value")
+    return rows, postings, similarity.company_norms(rows, key, vocab, own)
+
+
+def _grams(rows: DataFrame, key: str) -> DataFrame:
+    return rows.where(F.col("kind") == "gram").select(key, "term", "w")
 
 
 def cosine(companies: DataFrame, labels: DataFrame, key: str = "company_id", **options) -> DataFrame:
     """``(key, label_id, score)`` of every pair with a positive cosine."""
-    _, dots, norms = tfidf_pairs(companies, labels, key, **options)
+    rows, postings, norms = tfidf_features(companies, labels, key, **options)
+    matched = lookup_join(_grams(rows, key), postings, ["term"], spread=key)
+    dots = matched.groupBy(key, "label_id").agg(F.sum(F.col("w") * F.col("value")).alias("dot"))
     return dots.join(norms, key).select(key, "label_id", (F.col("dot") / F.col("norm")).alias("score"))
 
 
@@ -137,14 +141,15 @@ def top_matches(
 ) -> tuple[DataFrame, DataFrame]:
     """``(ids, matches)`` with the best labels at or above the threshold.
 
-    Ranks are taken on rounded cosines, so pairs meet their company's norm
-    first; that join stays inside the company's bucket.
+    Only pairs that can be among them are formed (``operators.pruning``).  Ranks
+    are taken on rounded cosines, inside the company's bucket.
     """
     ranking.check_top_k(top_k)
     labels = materialize(labels, "taxonomy")
-    rows, dots, norms = tfidf_pairs(companies, labels, key, **options)
+    rows, postings, norms = tfidf_features(companies, labels, key, **options)
     ids = company_ids(rows, key)
-    scored = dots.join(norms, key).withColumn("score", F.col("dot") / F.col("norm"))
+    pairs = pruning.best_pairs(_grams(rows, key), norms, postings, key, top_k, threshold)
+    scored = pairs.withColumn("score", F.col("dot") / F.col("norm"))
     ranked = ranking.top_k_pairs(scored, [key], "score", top_k).select(key, "label_id", "score", "rank")
     if threshold <= 0:
         ranked = ranking.pad_with_zero_scores(ranked, ids, labels, key, top_k)

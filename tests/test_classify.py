@@ -1,9 +1,10 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from labelloom.operators import ranking, similarity, tfidf, tuning
+from labelloom.operators import pruning, ranking, similarity, tfidf, tuning
 from labelloom.operators.ranking import Weights
 from labelloom.plans import classify, joins
 from labelloom.plans.classify import Settings
@@ -54,9 +55,58 @@ def test_weigh_is_the_same_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 5)
     monkeypatch.setattr(tfidf, "HOT_KEYS", 20)
     assert run(True) == want and run(False) == want
+    monkeypatch.setattr(tfidf, "BLOCK_BITS", 8)  # a filter that takes many terms for repeated ones
+    monkeypatch.setattr(tfidf, "FILTER_BITS", 8)
+    assert run(True) == want
     assert ("common" in {t for _, t in want}) is False
 
 
+def test_term_filter_forgets_no_term(spark):
+    terms = spark.range(0, 5000, 2).select(F.concat(F.lit("t"), "id").alias("term"))
+    blocks, size = tfidf.term_filter(terms, 2500)
+    every = spark.range(5000).select("id", F.concat(F.lit("t"), "id").alias("term"))
+    bits = {r["id"]: r["bit"] for r in tfidf.with_filter_bit(every, blocks, size, "bit").collect()}
+    assert all(bits[i] for i in range(0, 5000, 2))
+    assert sum(bits[i] for i in range(1, 5000, 2)) < 500
+
+
+def _texts(rng, n, words, pool):
+    return [" ".join(rng.choice(pool) for _ in range(rng.randint(0, words))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("top_k,threshold", [(1, 0.05), (3, 0.3), (2, 0.0), (5, -1.0)])
+def test_pruned_join_ranks_like_the_full_join(spark, seed, top_k, threshold):
+    rng = random.Random(seed)
+    pool = [f"w{int(rng.paretovariate(0.7))}" for _ in range(80)]
+    c = companies(spark, *_texts(rng, 40, 30, pool), "w1 w1 w1", "")
+    l = labels(spark, *_texts(rng, 25, 8, pool), "w1 w2", "w1 w2")
+    full = {}
+    for r in classify.cosine(c, l).collect():
+        full.setdefault(r["company_id"], []).append((round(r["score"], 9), r["label_id"]))
+    want = {
+        (i, label, place + 1): score
+        for i, pairs in full.items()
+        for place, (score, label) in enumerate(sorted(pairs, reverse=True)[:top_k]) if score >= threshold
+    }
+    _, matches = classify.top_matches(c, l, top_k=top_k, threshold=threshold)
+    rows = matches.where("score > 0").collect()
+    got = {(r["company_id"], r["label_id"], r["rank"]): r["score"] for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=2e-9) for k in want)
+
+
+def test_pruning_forms_fewer_pairs(spark):
+    rng = random.Random(1)
+    pool = [f"w{int(rng.paretovariate(0.7))}" for _ in range(200)]
+    c, l = companies(spark, *_texts(rng, 60, 40, pool)), labels(spark, *_texts(rng, 60, 8, pool))
+    rows, postings, norms = classify.tfidf_features(c, l)
+    grams = rows.where("kind = 'gram'").select("company_id", "term", "w")
+    terms = pruning.bounded_terms(grams, norms, pruning.term_bounds(postings, 2), "company_id", 0.4)
+    formed = pruning.partial_sums(terms, postings, "company_id").count()
+    assert 0 < formed < 0.7 * classify.cosine(c, l).count()
+
+
 @pytest.mark.parametrize("a,b,want", [
     (["a", "b"], ["a"], 0.5), (["a", "b", "c"], ["a", "b"], 0.8333333), (["a"], ["a"], 1.0),
 ])
