@@ -42,6 +42,8 @@ SEED = 42
 #: Words whose hashes a worker remembers; when full, it starts anew.
 REMEMBERED = 400_000
 _CHUNK = 1 << 15
+#: Bytes of distinct fingerprints whose rows under all tables one task makes.
+WIDE_BYTES = 1 << 20
 
 
 class WordHashes(dict):
@@ -234,7 +236,9 @@ def near_rows(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
     ``prints`` (fp) with another one within the radius; left out if there is none."""
     distinct = materialize(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "distinct_prints")
     paths, out = [(m,) for m in tables(0, radius)], []
-    rows = distinct.select("fp", "n", F.inline(F.array(*map(_named, paths))))
+    # every row becomes one per table, so few bytes are still much work
+    wide = distinct.repartition(shuffle_width(distinct, WIDE_BYTES))
+    rows = wide.select("fp", "n", F.inline(F.array(*map(_named, paths))))
     member = F.struct("fp", "n")
 
     def compare(batches):
