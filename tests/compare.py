@@ -41,7 +41,7 @@ def rows(columns, data):
 
 
 def compare(spark, con, sf, name, fn, sql):
-    """None when both agree, else a description of the difference."""
+    """None when both agree on some rows, else a description of the difference."""
     df = fn(spark, sf)
     got = rows(df.columns, df.collect())
     cur = con.execute(sql)

@@ -1,19 +1,17 @@
-"""Every registered query against its SQL at the smallest scale."""
+"""Every query of the library against its SQL at the smallest scale.
+
+The queries of the optional package for training text have tests of their own.
+"""
 
 import os
 
 import pytest
 
-import __spark_entry__ as entry
 from compare import compare, duck
+from labelloom.workload.oracle import SQL
+from labelloom.workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-# costly queries whose parts other tests cover; tests/compare.py runs them too
-SLOW = {
-    "tune_search", "tune_history", "tune_apply_best", "pipe_run", "pipe_ensemble_basic",
-    "score_ensemble", "score_rescale", "rank_topk_ensemble", "rank_ensure_one",
-    "sim_synonym_jaccard", "sim_exact_bonus", "sim_cosine", "pipe_score_saved",
-}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 
 
@@ -23,9 +21,9 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, con, name):
-    assert compare(spark, con, SF, name, entry.queries()[name], entry.oracle_sql()[name]) in (None, "no rows")
+    assert compare(spark, con, SF, name, QUERIES[name], SQL[name]) is None
