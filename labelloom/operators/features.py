@@ -74,7 +74,12 @@ def clean_columns(
     lemmas: DataFrame = None,
     **options,
 ) -> DataFrame:
-    """Add ``{source: target}`` cleaned columns."""
+    """Add ``{source: target}`` cleaned columns.
+
+    ``lemmas`` is a table ``(surface, lemma)`` or a ``lemmas.LemmaRules``.
+    """
+    from labelloom.operators.lemmas import LemmaRules, lemmatize_by_rules
+
     out = df.withColumns(
         {dst: clean_text(F.col(src), **options) for src, dst in columns.items()}
     )
@@ -82,7 +87,8 @@ def clean_columns(
         return out
     if key is None:
         raise ValueError("Lemmatizing needs the key column")
-    return lemmatize(out, key, list(columns.values()), lemmas)
+    replace = lemmatize_by_rules if isinstance(lemmas, LemmaRules) else lemmatize
+    return replace(out, key, list(columns.values()), lemmas)
 
 
 # --- weighted combined text ------------------------------------------------

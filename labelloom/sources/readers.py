@@ -107,13 +107,15 @@ def load_processed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def load_if_present(spark: SparkSession, *paths: str) -> tuple[DataFrame, ...] | None:
     """The processed tables, or None unless all of them exist."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not folder.getFileSystem(conf).exists(folder):
-            return None
+    if not all(exists(spark, path) for path in paths):
+        return None
     return tuple(load_processed(spark, p) for p in paths)
 
 

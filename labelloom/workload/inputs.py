@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from labelloom.functions import arrays as A
 from labelloom.functions import text as T
 from labelloom.operators import ranking
+from labelloom.operators.lemmas import LemmaRules
 from labelloom.plans.scratch import widen
 from labelloom.sources.readers import with_label_id
 
@@ -50,6 +52,10 @@ LEMMAS = [
     ("rings", "ring"), ("nations", "nation"), ("customers", "customer"), ("tionhan", "tion"),
     ("eran", "era"), ("esen", "ese"), ("thnt", "tht"), ("inan", "ina"), ("erth", "er"),
 ]
+EXCEPTIONS = [
+    ("inan", 1, "erthin"), ("inan", 2, "inin"), ("erth", 1, "er"), ("erth", 2, "ered"), ("anshes", 1, "erth"),
+    ("ansh", 1, "nowhere"), ("tionhan", 1, "ion"), ("tionhan", 2, "ingat"), ("thnt", 1, "thst"), ("esen", 1, "eses"),
+]
 TRIALS = [
     (1, 3, 0.05, 0.60, 0.25, 0.15),
     (2, 5, 0.08, 0.50, 0.25, 0.25),
@@ -140,6 +146,32 @@ def lemmas(spark) -> DataFrame:
     return spark.createDataFrame(LEMMAS, "surface string, lemma string")
 
 
+def lemma_rules(spark, sf) -> LemmaRules:
+    """Known lemmas: the words of the benchmark; irregular forms: a short list."""
+    index = benchmark(spark, sf).select(F.explode(A.words(F.col("cleaned_label"))).alias("lemma"))
+    exceptions = spark.createDataFrame(EXCEPTIONS, "surface string, rank int, lemma string")
+    return LemmaRules(index, exceptions)
+
+
+def write_lexicon(spark, sf, folder: str) -> None:
+    """A lexicon in the public text layout: every part is a synset of the words of
+    its name, type and brand, every word a term, nouns and verbs by part number."""
+    part = table(spark, sf, "part").select(
+        F.when(F.col("p_partkey") % 3 == 0, "verb").otherwise("noun").alias("pos"),
+        F.format_string("%08d", "p_partkey").alias("offset"),
+        F.array(F.replace("p_name", F.lit(" "), F.lit("_")), F.concat("p_type", F.lit("(p)")), F.col("p_brand")).alias("words"),
+    )
+    number = F.lower(F.lpad(F.hex(F.size("words")), 2, "0"))
+    synset = F.concat_ws(" ", "offset", F.lit("03 n"), number, F.array_join(F.transform("words", lambda w: F.concat(w, F.lit(" 0"))), " "), F.lit("000 | a gloss"))
+    term = F.explode(F.transform("words", lambda w: F.lower(F.regexp_replace(w, r"\(.*", ""))))
+    terms = part.select("pos", "offset", term.alias("term")).groupBy("pos", "term").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))
+    line = F.concat_ws(" ", "term", F.substring("pos", 1, 1), F.size("offsets"), F.lit("2 @ ~"), F.size("offsets"), F.lit("0"), F.array_join("offsets", " "))
+    licence = spark.createDataFrame([("  1 A licence of several lines.  ",)], "value string")
+    for pos in ("noun", "verb"):
+        for kind, rows, text in (("data", part, synset), ("index", terms, line)):
+            rows.where(F.col("pos") == pos).select(text.alias("value")).unionAll(licence).write.text(f"{folder}/{kind}.{pos}")
+
+
 def trials(spark) -> DataFrame:
     from labelloom.operators.tuning import TRIAL_SCHEMA
 

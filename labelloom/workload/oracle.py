@@ -4,6 +4,7 @@ plans: plain cross joins and repeated texts, no tricks."""
 from __future__ import annotations
 
 from labelloom.functions import lexicons as L
+from labelloom.operators.lemmas import NOUN_ENDINGS
 from labelloom.workload import inputs as I
 
 SQL: dict[str, str] = {}
@@ -176,6 +177,26 @@ j AS (SELECT company_id, string_agg(coalesce(lemma, t.surface), ' ' ORDER BY pos
       FROM t LEFT JOIN lemmas ON t.surface = lemmas.surface GROUP BY company_id)
 SELECT d.company_id, coalesce(s, '') AS combined_features FROM d LEFT JOIN j ON d.company_id = j.company_id
 """
+SQL["txt_lemmatize_rules"] = f"""
+WITH RECURSIVE d AS ({DOCS}), b AS ({BENCH}),
+t AS (SELECT company_id, unnest(w) AS surface, generate_subscripts(w, 1) AS pos
+      FROM (SELECT company_id, {words('text')} AS w FROM d)),
+known AS (SELECT DISTINCT unnest({words('cleaned')}) AS form FROM b),
+rules AS (SELECT * FROM {values([(i, *r) for i, r in enumerate(NOUN_ENDINGS)])} v(r, e, n)),
+listed AS (SELECT * FROM {values(I.EXCEPTIONS)} v(surface, rank, lemma)),
+s AS (SELECT DISTINCT surface FROM t),
+c AS (
+  SELECT surface, 0 AS level, [r + 1] AS place, left(surface, length(surface) - length(e)) || n AS form FROM s, rules WHERE ends_with(surface, e)
+  UNION ALL
+  SELECT surface, level + 1, place || [r], left(form, length(form) - length(e)) || n FROM c, rules WHERE ends_with(form, e)),
+f AS (
+  SELECT surface, level, place, form FROM c WHERE surface NOT IN (SELECT surface FROM listed)
+  UNION ALL SELECT surface, 0, [0], surface FROM s
+  UNION ALL SELECT surface, 0, [rank], lemma FROM s JOIN listed USING (surface)),
+m AS (SELECT surface, arg_min(form, {{'l': level, 'n': length(form), 'p': place}}) AS lemma FROM f JOIN known USING (form) GROUP BY surface),
+j AS (SELECT company_id, string_agg(coalesce(lemma, surface), ' ' ORDER BY pos) AS s FROM t LEFT JOIN m USING (surface) GROUP BY company_id)
+SELECT d.company_id, coalesce(s, '') AS combined_features FROM d LEFT JOIN j ON d.company_id = j.company_id
+"""
 SQL["txt_ngrams"] = (
     f"WITH d AS ({TAILED}), t AS (SELECT company_id, {words(clean('description'))} AS w FROM d) "
     f"SELECT company_id, {bar(ngrams('w', 2))} AS bigrams, {bar(ngrams('w', 3))} AS trigrams FROM t"
@@ -689,6 +710,13 @@ SQL["src_scan_csv"] = _messy
 SQL["src_scan_json"] = _messy.replace("WHEN 3 THEN s_name END", "WHEN 2 THEN 'N/A' ELSE s_name END").replace(
     "THEN 'sector ' || (s_suppkey % 4) END", "THEN 'sector ' || (s_suppkey % 4) ELSE 'null' END"
 )
+SQL["src_scan_synsets"] = """
+WITH p AS (SELECT p_partkey, p_partkey % 3 = 0 AS verb, [replace(p_name, ' ', '_'), p_type, p_brand] AS words FROM part),
+w AS (SELECT p_partkey, verb, unnest(words) AS lemma, generate_subscripts(words, 1) AS lemma_rank FROM p),
+t AS (SELECT DISTINCT replace(lower(lemma), '_', ' ') AS term, verb, p_partkey FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY verb, p_partkey) AS synset_rank FROM t)
+SELECT term, synset_rank, lemma_rank, lemma FROM r JOIN w USING (p_partkey, verb)
+"""
 SQL["src_two_tables"] = f"""
 SELECT description || '/' || category AS text, count(*) AS n FROM ({PARTS}) GROUP BY ALL
 UNION ALL SELECT label, label_id FROM ({PART_LABELS})

@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelloom.functions import arrays as A
 from labelloom.functions import text as T
-from labelloom.operators import evaluation, features, lexicon, ranking, similarity, tfidf, tuning
+from labelloom.operators import evaluation, features, lemmas, lexicon, ranking, similarity, tfidf, tuning
 from labelloom.plans import classify, preprocess, runs
 from labelloom.plans.classify import Settings
 from labelloom.plans.scratch import materialize, scratch_path, widen
-from labelloom.sources import models, readers, sinks
+from labelloom.sources import lexicon_files, models, readers, sinks
 from labelloom.streaming import scoring
 from labelloom.workload import inputs
 
@@ -109,6 +109,12 @@ def txt_lemmatize(spark, sf):
     return features.lemmatize(d, "company_id", ["combined_features"], inputs.lemmas(spark))
 
 
+@query
+def txt_lemmatize_rules(spark, sf):
+    d = inputs.cleaned_documents(spark, sf)
+    return lemmas.lemmatize_by_rules(d, "company_id", ["combined_features"], inputs.lemma_rules(spark, sf))
+
+
 @query
 def txt_ngrams(spark, sf):
     d = inputs.tailed(spark, sf).select("company_id", A.words(T.clean_text(F.col("description"))).alias("w"))
@@ -718,6 +724,13 @@ def src_scan_json(spark, sf):
     return readers.load_data(spark, path, _MESSY, lines=True)
 
 
+@query
+def src_scan_synsets(spark, sf):
+    folder = scratch_path(spark, "lexicon")
+    inputs.write_lexicon(spark, sf, folder)
+    return lexicon_files.read_synsets(spark, folder)
+
+
 @query
 def src_two_tables(spark, sf):
     company_path = scratch_path(spark, "companies") + ".csv"
