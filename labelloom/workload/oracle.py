@@ -403,6 +403,7 @@ SQL["tfidf_idf"] = _turn + "SELECT term, round(idf, 6) AS idf FROM idf"
 SQL["tfidf_weights"] = _turn + "SELECT side || ':' || id AS doc, term, round(w, 6) AS weight FROM w"
 SQL["tfidf_norm"] = _turn + "SELECT side || ':' || id AS doc, term, round(u, 6) AS weight FROM u"
 SQL["model_tfidf_roundtrip"] = _turn + "SELECT term, df, round(idf, 6) AS idf FROM idf"
+SQL["model_vocabulary_merge"] = _turn + "SELECT term, df, round(idf, 6) AS idf, (SELECT count(*) FROM docs) AS n_docs FROM idf"
 SQL["tfidf_vocab_size"] = (
     f"WITH {tfidf_ctes(DOCS, 'SELECT 0 AS label_id, CAST(NULL AS VARCHAR) AS cleaned WHERE FALSE')} "
     "SELECT count(*) AS vocabulary_size FROM idf"

@@ -14,7 +14,7 @@ from labelloom.operators import evaluation, features, lemmas, lexicon, ranking,
 from labelloom.plans import classify, preprocess, runs
 from labelloom.plans.classify import Settings
 from labelloom.plans.scratch import materialize, scratch_path, widen
-from labelloom.sources import lexicon_files, models, readers, sinks
+from labelloom.sources import lexicon_files, models, readers, sinks, vocabulary_store
 from labelloom.streaming import scoring
 from labelloom.workload import inputs
 
@@ -826,6 +826,23 @@ def model_tfidf_roundtrip(spark, sf):
     return models.load_vocabulary(spark, path).select("term", "df", rounded("idf"))
 
 
+@query
+def model_vocabulary_merge(spark, sf):
+    """Turns and labels added in three versions, the first two summed up, one
+    batch added twice and taken out again."""
+    path = scratch_path(spark, "store")
+    turns = inputs.turns(spark, sf)
+    part = F.pmod(F.xxhash64("company_id"), F.lit(3))
+    vocabulary_store.add_documents(inputs.benchmark(spark, sf), path, "label_id", "cleaned_label")
+    vocabulary_store.add_documents(turns.where(part == 0), path)
+    vocabulary_store.add_documents(turns.where(part == 1), path)
+    vocabulary_store.compact(spark, path)
+    vocabulary_store.add_documents(turns.where(part != 0), path)
+    vocabulary_store.add_documents(turns.where(part == 1), path, remove=True)
+    vocab, n_docs = vocabulary_store.vocabulary(spark, path)
+    return tfidf.kept_terms(vocab).select("term", "df", rounded("idf"), F.lit(n_docs).cast("bigint").alias("n_docs"))
+
+
 @query
 def model_config_roundtrip(spark, sf):
     path = scratch_path(spark, "settings")
