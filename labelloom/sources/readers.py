@@ -13,16 +13,20 @@ from labelloom.plans.scratch import materialize, positions
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: StructType | str = None, multiline: bool = True
+    spark: SparkSession, path: str, schema: StructType | str = None, multiline: bool | str = True
 ) -> DataFrame:
     """CSV with quoted fields; null tokens become null.
 
     Without a schema every column is a string, so no inference pass runs.
-    By default line breaks inside quotes survive, and a file is one task: keep
-    such input in many files, or convert it to Parquet once.
+    By default line breaks inside quotes survive, and a file is one task.
+    ``multiline="split"`` reads such files by many tasks each (see ``split_csv``);
     ``multiline=False`` lets Spark split large files that have no line break
     inside a quoted field.
     """
+    if multiline == "split":
+        from labelloom.sources.split_csv import read_csv_split
+
+        return read_csv_split(spark, path, schema)
     reader = (
         spark.read.option("header", True).option("multiLine", multiline)
         .option("quote", '"').option("escape", '"')

@@ -708,6 +708,7 @@ SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'say "hi", ' || s_name WHEN 1 T
   CASE WHEN s_suppkey % 4 < 3 THEN 'sector ' || (s_suppkey % 4) END AS sector, s_acctbal FROM supplier
 """
 SQL["src_scan_csv"] = _messy
+SQL["src_scan_csv_split"] = _messy
 SQL["src_scan_json"] = _messy.replace("WHEN 3 THEN s_name END", "WHEN 2 THEN 'N/A' ELSE s_name END").replace(
     "THEN 'sector ' || (s_suppkey % 4) END", "THEN 'sector ' || (s_suppkey % 4) ELSE 'null' END"
 )

@@ -14,7 +14,7 @@ from labelloom.operators import evaluation, features, lemmas, lexicon, ranking,
 from labelloom.plans import classify, preprocess, runs
 from labelloom.plans.classify import Settings
 from labelloom.plans.scratch import materialize, scratch_path, widen
-from labelloom.sources import lexicon_files, models, readers, sinks, vocabulary_store
+from labelloom.sources import lexicon_files, models, readers, sinks, split_csv, vocabulary_store
 from labelloom.streaming import scoring
 from labelloom.workload import inputs
 
@@ -717,6 +717,14 @@ def src_scan_csv(spark, sf):
     return readers.load_data(spark, path, _MESSY)
 
 
+@query
+def src_scan_csv_split(spark, sf):
+    """One file, read in splits of 2 KB."""
+    path = scratch_path(spark, "companies") + ".csv"
+    sinks.write_table(_messy(spark, sf).coalesce(1), path, "csv")
+    return split_csv.read_csv_split(spark, path, _MESSY, size=2048)
+
+
 @query
 def src_scan_json(spark, sf):
     path = scratch_path(spark, "companies") + ".json"
