@@ -6,7 +6,9 @@ for the sample; each trial only weighs, ranks and cuts them again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from labelloom.functions.arrays import unnest
 from labelloom.operators import ranking
@@ -125,6 +127,45 @@ def objective(
     )
 
 
+def annotated_objective(
+    classified: DataFrame, given: DataFrame, key: str = "company_id", labels: str = "insurance_labels"
+) -> DataFrame:
+    """Agreement with given labels per trial: precision, recall and F1 over all
+    assignments (micro) and as the mean over labels (macro).
+
+    ``classified`` has trial_id, key and a list of labels, ``given`` a row
+    ``(key, label)`` per given label.  Companies without any given label are not
+    annotated and do not count.  A label counts for macro if it is given or
+    predicted in the trial; a share without a denominator is 0.
+    """
+    truth = given.select(key, "label").where(F.col("label").isNotNull()).distinct()
+    annotated = truth.select(key).distinct()
+    guessed = unnest(classified, ["trial_id", key], F.array_distinct(F.col(labels)), "label").join(annotated, key, "left_semi")
+    each_trial = classified.select("trial_id", key).distinct()
+    wanted = each_trial.join(truth, key).select("trial_id", key, "label")
+    rows = guessed.select("trial_id", key, "label", F.lit(1).alias("p"), F.lit(0).alias("g")).unionAll(
+        wanted.select("trial_id", key, "label", F.lit(0).alias("p"), F.lit(1).alias("g"))
+    )
+    cells = rows.groupBy("trial_id", key, "label").agg(F.max("p").alias("p"), F.max("g").alias("g"))
+    counts = cells.groupBy("trial_id", "label").agg(
+        F.sum("p").alias("p"), F.sum("g").alias("g"), F.sum(F.col("p") * F.col("g")).alias("both")
+    )
+
+    def share(part: Column, whole: Column) -> Column:
+        return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+
+    def three(p: Column, g: Column, both: Column) -> tuple[Column, ...]:
+        return share(both, p), share(both, g), share(2 * both, p + g)
+
+    total = [F.sum(c) for c in ("p", "g", "both")]
+    names = ("precision", "recall", "f1")
+    micro = [c.alias(f"micro_{n}") for n, c in zip(names, three(*total))]
+    macro = [F.avg(c).alias(f"macro_{n}") for n, c in zip(names, three(*map(F.col, ("p", "g", "both"))))]
+    found = counts.groupBy("trial_id").agg(*micro, *macro)
+    filled = [F.coalesce(f"{kind}_{n}", F.lit(0.0)).alias(f"{kind}_{n}") for kind in ("micro", "macro") for n in names]
+    return classified.select("trial_id").distinct().join(found, "trial_id", "left").select("trial_id", *filled)
+
+
 def history(trials: DataFrame, results: DataFrame) -> DataFrame:
     """Trials with their scores, best first."""
     joined = trials.join(results, "trial_id")
@@ -132,26 +173,65 @@ def history(trials: DataFrame, results: DataFrame) -> DataFrame:
     return placed.withColumn("position", (F.col("position") + 1).cast("int")).orderBy("position")
 
 
-def search(
+@dataclass(frozen=True)
+class Bounds:
+    """What the trials to come cannot exceed: their greatest top_k and, weight by
+    weight, their least normalized weights."""
+
+    top_k: int | None
+    weights: ranking.Weights | None
+
+    @staticmethod
+    def of(trials: DataFrame) -> "Bounds":
+        lowest = trials.agg(*[F.min(f"{w}_weight") for w in ("tfidf", "wordnet", "keyword")]).first()
+        weights = None if None in lowest else ranking.Weights(*lowest)
+        return Bounds(trials.agg(F.max("top_k")).first()[0], weights)
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """All that trials share: companies, their scored pairs, and labels."""
+
+    ids: DataFrame
+    pairs: DataFrame
+    labels: DataFrame
+    key: str
+
+
+def prepare(
     companies: DataFrame,
     labels: DataFrame,
-    trials: DataFrame,
+    bounds: Bounds,
     key: str = "company_id",
     n: int | None = SAMPLE,
     seed: int = 42,
     **options,
-) -> DataFrame:
-    """History of all trials on a sample of the companies (``n=None``: all)."""
+) -> Prepared:
+    """Similarity components of a sample, written once.  Pairs that no trial within
+    the bounds can rank among its best are not built."""
     from labelloom.plans import classify
 
     labels = materialize(labels, "taxonomy")
     chosen = materialize(sample(companies, key, n, seed), "sample")
-    # pairs that no trial can rank among its best need not be built
-    lowest = trials.agg(*[F.min(f"{w}_weight") for w in ("tfidf", "wordnet", "keyword")]).first()
-    best = None
-    if None not in lowest and classify.prunable(ranking.Weights(*lowest)):
-        best = trials.agg(F.max("top_k")).first()[0]
+    best = bounds.top_k if bounds.weights is not None and classify.prunable(bounds.weights) else None
     rows, pairs = classify.ensemble_pairs(chosen, labels, key=key, best=best, **options)
-    pairs = materialize(pairs, "components")
-    matches = trial_matches(classify.company_ids(rows, key), pairs, labels, trials, key)
-    return history(trials, objective(matches, labels.count()))
+    return Prepared(classify.company_ids(rows, key), materialize(pairs, "components"), labels, key)
+
+
+def evaluate(parts: Prepared, trials: DataFrame) -> DataFrame:
+    """History of the trials, best first."""
+    matches = trial_matches(parts.ids, parts.pairs, parts.labels, trials, parts.key)
+    return history(trials, objective(matches, parts.labels.count()))
+
+
+def search(
+    companies: DataFrame,
+    labels: DataFrame,
+    trials: DataFrame,
+    key: str = "company_id",
+    n: int | None = SAMPLE,
+    seed: int = 42,
+    **options,
+) -> DataFrame:
+    """History of all trials on a sample of the companies (``n=None``: all)."""
+    return evaluate(prepare(companies, labels, Bounds.of(trials), key, n, seed, **options), trials)

@@ -700,6 +700,30 @@ SQL["tune_apply_best"] = (
     f"WITH {ensemble_ctes(PART_TEXTS, PART_LABELS, 'optimized', I.PART_SECTORS)}, {scored_ctes(_best)}" + shown_ensemble()
 )
 
+SQL["tune_density"] = _search + """,
+space AS (SELECT * FROM (VALUES ('top_k', 1e0, 10e0), ('threshold', 0.01e0, 0.3e0), ('tfidf_weight', 0.04e0, 0.9e0),
+  ('wordnet_weight', 0.04e0, 0.9e0), ('keyword_weight', 0.04e0, 0.9e0)) v(parameter, low, high)),
+seen AS (SELECT position <= ceil(0.4e0 * (SELECT count(*) FROM hist)) AS good, unnest(['top_k', 'threshold', 'tfidf_weight', 'wordnet_weight', 'keyword_weight']) AS parameter,
+  unnest([top_k::DOUBLE, threshold::DOUBLE, wt::DOUBLE, ww::DOUBLE, wk::DOUBLE]) AS value FROM hist),
+width AS (SELECT parameter, good, count(*) AS n, greatest(stddev_pop(value) * count(*) ** (-0.2e0), any_value(high - low) / 50) AS h
+  FROM seen JOIN space USING (parameter) GROUP BY ALL),
+grid AS (SELECT parameter, point, low, high, low + point * ((high - low) / 10) AS x FROM space, (SELECT unnest(range(11)) AS point) r),
+dens AS (SELECT grid.parameter, point, x, good, (any_value(1 / (high - low)) + sum(exp(-(((x - value) / h) ** 2) / 2) / (h * sqrt(2 * pi())))) / (count(*) + 1) AS d
+  FROM grid JOIN seen USING (parameter) JOIN width USING (parameter, good) GROUP BY ALL)
+SELECT parameter, point, round(x, 6) AS x, round(max(d) FILTER (good), 6) AS good, round(max(d) FILTER (NOT good), 6) AS bad FROM dens GROUP BY parameter, point, x"""
+SQL["tune_objective_f1"] = _c.rstrip() + """,
+given AS (SELECT DISTINCT o_custkey AS company_id, o_orderpriority AS label FROM orders WHERE month(o_orderdate) % 2 = 0 AND o_orderpriority IS NOT NULL),
+trial AS (SELECT company_id, c_nationkey AS trial_id, labels FROM classified),
+guess AS (SELECT DISTINCT trial_id, company_id, unnest(labels) AS label FROM trial WHERE company_id IN (SELECT company_id FROM given)),
+truth AS (SELECT trial_id, company_id, label FROM trial JOIN given USING (company_id)),
+cell AS (SELECT trial_id, label, (g.label IS NOT NULL)::INT AS p, (t.label IS NOT NULL)::INT AS g
+  FROM guess g FULL JOIN truth t USING (trial_id, company_id, label)),
+per AS (SELECT trial_id, label, sum(p) AS p, sum(g) AS g, sum(p * g) AS b FROM cell GROUP BY ALL)
+SELECT n.trial_id, round(coalesce(sum(b) / nullif(sum(p), 0), 0e0), 6) AS micro_precision, round(coalesce(sum(b) / nullif(sum(g), 0), 0e0), 6) AS micro_recall,
+  round(coalesce(2 * sum(b) / nullif(sum(p + g), 0), 0e0), 6) AS micro_f1, round(coalesce(avg(coalesce(b / nullif(p, 0), 0e0)), 0e0), 6) AS macro_precision,
+  round(coalesce(avg(coalesce(b / nullif(g, 0), 0e0)), 0e0), 6) AS macro_recall, round(coalesce(avg(coalesce(2 * b / nullif(p + g, 0), 0e0)), 0e0), 6) AS macro_f1
+FROM (SELECT DISTINCT trial_id FROM trial) n LEFT JOIN per USING (trial_id) GROUP BY n.trial_id"""
+
 # --- sources and sinks -----------------------------------------------------
 
 _messy = """

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelloom.functions import arrays as A
 from labelloom.functions import text as T
-from labelloom.operators import evaluation, features, lemmas, lexicon, ranking, similarity, tfidf, tuning
+from labelloom.operators import evaluation, features, guided, lemmas, lexicon, ranking, similarity, tfidf, tuning
 from labelloom.plans import classify, preprocess, runs
 from labelloom.plans.classify import Settings
 from labelloom.plans.scratch import materialize, scratch_path, widen
@@ -692,6 +692,40 @@ def tune_apply_best(spark, sf):
     return show(out)
 
 
+@query
+def tune_density(spark, sf):
+    """Densities of good and bad trials over a grid of every parameter."""
+    spans = guided.ranges(spark)
+    seen = materialize(guided.observations(_search(spark, sf), 0.4), "observations")
+    step = (F.col("high") - F.col("low")) / 10
+    grid = spans.select("parameter", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("point"), "low", step.alias("step"))
+    points = grid.select("parameter", "point", (F.col("low") + F.col("point") * F.col("step")).alias("x"))
+    out = guided.densities(points, seen, spans, ["point"])
+    return out.select("parameter", "point", *[rounded(c) for c in ("x", "good", "bad")])
+
+
+@query
+def tune_search_guided(spark, sf):
+    """A search resumed from a stored history, in two blocks of guided trials."""
+    path = scratch_path(spark, "study")
+    models.save_history(_search(spark, sf).drop("position"), path)
+    out = guided.search(
+        inputs.part_texts(spark, sf), inputs.part_labels(spark, sf), path, n_trials=8, block=4, startup=5,
+        good_share=0.4, settings=PART_SETTINGS, synonyms=inputs.synonyms(spark),
+    )
+    return out.select("trial_id", "position", "top_k", *[rounded(c) for c in ("threshold", "tfidf_weight", "score")])
+
+
+@query
+def tune_objective_f1(spark, sf):
+    """Priorities of a customer's orders of even months against those of all orders."""
+    orders = inputs.table(spark, sf, "orders")
+    given = orders.where(F.month("o_orderdate") % 2 == 0).select(F.col("o_custkey").alias("company_id"), F.col("o_orderpriority").alias("label"))
+    per_nation = inputs.classified(spark, sf, ["c_nationkey"]).withColumnRenamed("c_nationkey", "trial_id")
+    out = tuning.annotated_objective(per_nation, given)
+    return out.select("trial_id", *[rounded(c) for c in out.columns[1:]])
+
+
 # --- sources, sinks, saved models ------------------------------------------
 
 def _messy(spark, sf):
