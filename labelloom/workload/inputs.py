@@ -56,6 +56,7 @@ EXCEPTIONS = [
     ("inan", 1, "erthin"), ("inan", 2, "inin"), ("erth", 1, "er"), ("erth", 2, "ered"), ("anshes", 1, "erth"),
     ("ansh", 1, "nowhere"), ("tionhan", 1, "ion"), ("tionhan", 2, "ingat"), ("thnt", 1, "thst"), ("esen", 1, "eses"),
 ]
+EVENT_USERS = ["north", "south", "east", "west", "centre"]
 TRIALS = [
     (1, 3, 0.05, 0.60, 0.25, 0.15),
     (2, 5, 0.08, 0.50, 0.25, 0.25),
@@ -146,6 +147,22 @@ def lemmas(spark) -> DataFrame:
     return spark.createDataFrame(LEMMAS, "surface string, lemma string")
 
 
+def event_texts(spark, sf) -> DataFrame:
+    """Every event as a short text: its type, a word for its value, one for its user."""
+    size = F.when(F.col("value") < 5, "tiny").when(F.col("value") < 20, "middling").otherwise("huge")
+    who = F.get(F.array(*map(F.lit, EVENT_USERS)), (F.col("user_id") % len(EVENT_USERS)).cast("int"))
+    return table(spark, sf, "events", "event_id").select(
+        F.col("event_id").alias("company_id"), F.concat_ws(" ", "event_type", size, who).alias("combined_features"), "ts"
+    )
+
+
+def event_labels(spark, sf) -> DataFrame:
+    names = event_texts(spark, sf).select(
+        F.substring_index("combined_features", " ", 2).alias("label")
+    ).distinct()
+    return with_label_id(names, order_by="label").withColumn("cleaned_label", F.col("label"))
+
+
 def lemma_rules(spark, sf) -> LemmaRules:
     """Known lemmas: the words of the benchmark; irregular forms: a short list."""
     index = benchmark(spark, sf).select(F.explode(A.words(F.col("cleaned_label"))).alias("lemma"))

@@ -444,15 +444,19 @@ SQL["rank_topk_tfidf"] = (
 )
 
 
-def tfidf_result(pairs: str) -> str:
+def tfidf_result(pairs: str, docs: str = DOCS) -> str:
     return f"""{topk(pairs, 3, 0.05)},
 lst AS (SELECT cid, list(label ORDER BY rank) AS ls, list(cos ORDER BY rank) AS ss FROM top JOIN labels ON lid = label_id GROUP BY cid),
 res AS (SELECT c.company_id, coalesce(ls, []::VARCHAR[]) AS labels, coalesce(ss, []::DOUBLE[]) AS scores
-        FROM ({DOCS}) c LEFT JOIN lst ON CAST(c.company_id AS VARCHAR) = cid)
+        FROM ({docs}) c LEFT JOIN lst ON CAST(c.company_id AS VARCHAR) = cid)
 SELECT {shown()} FROM res"""
 
 
 SQL["pipe_tfidf_classify"] = _doc[:-1] + ", " + tfidf_result("cos")
+_EVENT = "event_type || ' ' || CASE WHEN value < 5 THEN 'tiny' WHEN value < 20 THEN 'middling' ELSE 'huge' END"
+_EVENTS = f"SELECT event_id AS company_id, {_EVENT} || ' ' || ({I.EVENT_USERS!r})[1 + user_id % 5] AS text FROM events"
+_EVENT_LABELS = f"SELECT row_number() OVER (ORDER BY label) - 1 AS label_id, label, label AS cleaned FROM (SELECT DISTINCT {_EVENT} AS label FROM events)"
+SQL["pipe_score_stream"] = f"WITH {tfidf_ctes(_EVENTS, _EVENT_LABELS)}, " + tfidf_result("cos", _EVENTS)
 SQL["pipe_score_saved"] = (
     _turn[:-1] + ", "
     + under_vocabulary({"company": _as_id.format(DOCS), "label": f"SELECT label_id AS id, cleaned AS text FROM ({BENCH})"})

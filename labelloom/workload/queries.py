@@ -548,6 +548,35 @@ def pipe_score_saved(spark, sf):
     return show(out)
 
 
+@query
+def pipe_score_stream(spark, sf):
+    """Events scored as a stream of three files: the earlier half, the later half
+    with some of the earlier sent again, and every fifth event once more."""
+    events, labels = materialize(inputs.event_texts(spark, sf), "events"), inputs.event_labels(spark, sf)
+    counts = [
+        tfidf.term_counts(d.select(F.col(k).cast("string").alias("doc"), F.col(t).alias("text")), "doc", "text")
+        for d, k, t in ((events, "company_id", "combined_features"), (labels, "label_id", "cleaned_label"))
+    ]
+    vocab = tfidf.vocabulary(tfidf.document_frequency(*counts), events.count() + labels.count())
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    middle = F.lit(first + (last - first) / 2)
+    source = scratch_path(spark, "stream")
+    again = (F.col("ts") < middle) & (F.col("ts") > middle - F.expr("INTERVAL 1 DAY"))
+    for rows in (
+        events.where(F.col("ts") < middle),
+        events.where(F.col("ts") >= middle).unionAll(events.where(again)),
+        events.where("company_id % 5 = 0"),
+    ):
+        rows.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    path = scratch_path(spark, "scored")
+    scoring.score_stream(
+        stream, labels, materialize(vocab, "vocabulary"), path, scratch_path(spark, "checkpoint"),
+        event_time="ts", delay="2 days", top_k=3, threshold=0.05,
+    ).awaitTermination()
+    return show(spark.read.parquet(path))
+
+
 @query
 def pipe_score_loaded(spark, sf):
     """Run and save the model, then load it and score the same table afresh."""

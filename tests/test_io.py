@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +114,35 @@ def test_stream_scores_like_a_batch(spark, tmp_path, data):
     assert dict(key(got))[2] == "Tree Pruning"
 
 
+def test_stream_scores_a_company_once(spark, tmp_path, data):
+    companies, labels = data
+    counts = tfidf.term_counts(companies, "company_id", "combined_features")
+    vocab = materialize(tfidf.vocabulary(tfidf.document_frequency(counts), 5), "v")
+    text = {r["company_id"]: r["combined_features"] for r in companies.collect()}
+    schema = "company_id long, combined_features string, seen timestamp"
+
+    def arrive(*rows):
+        at = [(i, text[i], datetime.datetime(2024, 1, 1, hour, minute)) for i, hour, minute in rows]
+        spark.createDataFrame(at, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = scoring.score_stream(
+            stream, labels, vocab, str(tmp_path / "out"), str(tmp_path / "cp"), event_time="seen", delay="1 hour"
+        )
+        query.awaitTermination()
+        return sorted(r["company_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    one, two, three = sorted(text)
+    arrive((one, 10, 0), (one, 10, 0), (two, 10, 30))
+    arrive((two, 10, 30))  # sent again in the next batch
+    assert run() == [one, two]
+    arrive((two, 10, 30), (three, 12, 0))  # sent again after a restart
+    assert run() == [one, two, three]
+    arrive((one, 10, 0))  # older than the watermark
+    assert run() == [one, two, three]
+
+
 def test_settings_come_back_whole(spark, tmp_path):
     odd = Settings(
         top_k=2, threshold=0.1, weights=Weights(2.0, 1.0, 0.5), mode="basic", ensure_one_tag=False,
