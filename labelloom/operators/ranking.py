@@ -10,6 +10,8 @@ UNCLASSIFIED = "Unclassified"
 # Label and score of a company that nothing else fits.
 GENERIC_LABEL = "General Insurance"
 GENERIC_SCORE = 0.1
+#: Weighted scores before they are rescaled, in the order of the labels.
+RAW_SCORES = "insurance_label_raw_scores"
 # ranks must not depend on the order in which doubles were added
 DIGITS = 9
 
@@ -116,25 +118,24 @@ def pad_with_zero_scores(
 
 
 def label_lists(matches: DataFrame, key: list[str]) -> DataFrame:
-    """Labels and scores in rank order."""
-    return (
-        matches.groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "label", "score"))).alias("m"))
-        .select(
-            *key,
-            F.transform("m", lambda x: x["label"]).alias("insurance_labels"),
-            F.transform("m", lambda x: x["score"]).alias("insurance_label_scores"),
-        )
+    """Labels and scores in rank order; raw scores too where ``matches`` has them."""
+    raw = [F.coalesce("raw_score", F.lit(0.0)).alias("raw_score")] if "raw_score" in matches.columns else []
+    lists = matches.groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "label", "score", *raw))).alias("m")
     )
+    names = {"label": "insurance_labels", "score": "insurance_label_scores"}
+    if raw:
+        names["raw_score"] = RAW_SCORES
+    return lists.select(*key, *[F.col("m")[field].alias(name) for field, name in names.items()])
 
 
 def with_label_text(df: DataFrame) -> DataFrame:
     """Missing lists become empty; the text form joins the labels."""
     labels = F.coalesce("insurance_labels", F.array().cast("array<string>"))
-    scores = F.coalesce("insurance_label_scores", F.array().cast("array<double>"))
+    scores = [c for c in ("insurance_label_scores", RAW_SCORES) if c in df.columns]
     return df.withColumns({
         "insurance_labels": labels,
-        "insurance_label_scores": scores,
+        **{c: F.coalesce(c, F.array().cast("array<double>")) for c in scores},
         "insurance_label": F.when(F.size(labels) > 0, F.array_join(labels, ", ")).otherwise(UNCLASSIFIED),
     })
 
@@ -182,7 +183,9 @@ def fallback_chain(
         label = F.coalesce(F.col("_sector"), generic_label(labels))
         score = F.coalesce(F.col("_sector_score"), F.lit(GENERIC_SCORE))
     empty = F.coalesce(F.size("insurance_labels"), F.lit(0)) == 0
+    filled = {"insurance_labels": label, "insurance_label_scores": score}
+    if RAW_SCORES in out.columns:
+        filled[RAW_SCORES] = F.lit(0.0)  # nothing was similar
     return out.withColumns({
-        "insurance_labels": F.when(empty, F.array(label)).otherwise(F.col("insurance_labels")),
-        "insurance_label_scores": F.when(empty, F.array(score)).otherwise(F.col("insurance_label_scores")),
+        c: F.when(empty, F.array(value)).otherwise(F.col(c)) for c, value in filled.items()
     }).drop("_sector", "_sector_score")

@@ -343,16 +343,17 @@ def sector_fallback(
         lambda n: F.substring(F.col("w"), F.col("i"), n),
     )
     parts = unnest(starts, ["label_id"], from_start, "part").distinct()
+    # sizes are checked and joined from what is written, not computed twice
+    parts = materialize(parts, "label_parts")
     by_word = lookup_join(info_words, parts, ["part"], spread="info").groupBy(
         "info", "label_id"
     ).agg((F.sum("times") * 0.2).alias("score"))
 
     left = lex.with_sectors(distinct, "info", "s", "basic", lexicon)
     right = lex.with_sectors(named, "low", "s", "basic", lexicon)
+    label_sectors = materialize(unnest(right, ["label_id"], F.col("s"), "sector"), "label_sectors")
     by_sector = lookup_join(
-        unnest(left, ["info"], F.col("s"), "sector"),
-        unnest(right, ["label_id"], F.col("s"), "sector"),
-        ["sector"], spread="info",
+        unnest(left, ["info"], F.col("s"), "sector"), label_sectors, ["sector"], spread="info",
     ).groupBy("info", "label_id").agg((F.count(F.lit(1)) * 0.3).alias("score"))
 
     # ties go to the first label; sums are compared to nine digits
@@ -363,6 +364,6 @@ def sector_fallback(
         F.max(F.struct(F.col("score"), (-F.col("label_id")).alias("n"))).alias("b")
     ).select("info", F.col("b.score").alias("score"), (-F.col("b.n")).alias("label_id"))
     best = best.where(F.col("score") >= 0.2).join(named.select("label_id", "label"), "label_id")
-    return lookup_join(texts, best, ["info"], spread=key).select(
+    return lookup_join(texts, materialize(best, "sector_labels"), ["info"], spread=key).select(
         key, "label_id", "label", "score"
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from labelloom.operators.evaluation import evaluation_report
@@ -27,6 +27,18 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
         raise ValueError(f"Unsupported output format: {fmt}")
 
 
+def four_decimals(score: Column) -> Column:
+    """Text of a score of zero or more with four decimals, rounded as the exact
+    binary value asks for and to the even digit when that is a tie (Spark's own
+    formatting rounds the shortest decimal form, ties away from zero)."""
+    n = F.floor(score * 10_000)
+    # exact: the upper half has 24 bits, the lower 29, and 20,000 adds 15
+    upper = score.cast("float").cast("double")
+    over = (upper * 20_000 - (2 * n + 1)) + (score - upper) * 20_000
+    n = n + F.when((over > 0) | ((over == 0) & (n % 2 == 1)), 1).otherwise(0)
+    return F.format_string("%d.%04d", F.floor(n / 10_000), n % 10_000)
+
+
 def export_table(
     df: DataFrame, description_column: str = "description", include_scores: bool = False
 ) -> DataFrame:
@@ -38,7 +50,7 @@ def export_table(
     if include_scores and "insurance_label_scores" in df.columns:
         columns.append(
             F.array_join(
-                F.transform("insurance_label_scores", lambda s: F.format_string("%.4f", s)),
+                F.transform("insurance_label_scores", four_decimals),
                 ", ",
             ).alias("label_scores")
         )

@@ -370,9 +370,15 @@ SQL["feat_label_features"] = (
     f"{expanded('kt', 'x', 'optimized')} SELECT label_id, {bar('kt')} AS key_terms, {bar('syn')} AS synonyms, "
     f"{bar(sector_list('cleaned', I.PART_SECTORS, 'optimized'))} AS insurance_sectors FROM k JOIN x ON id = label_id"
 )
-SQL["model_config_roundtrip"] = (
-    f"WITH d AS ({PART_TEXTS}) SELECT company_id, {bar(sector_list('text', I.PART_SECTORS, 'optimized'))} AS sectors FROM d"
-)
+SQL["model_config_roundtrip"] = f"""
+WITH d AS ({PART_TEXTS}), t AS (SELECT company_id, {vtokens('text')} AS t FROM d),
+g AS (SELECT DISTINCT company_id, unnest(list_concat(t, {ngrams('t', 2)}, {ngrams('t', 3)})) AS term FROM t),
+f AS (SELECT term FROM g GROUP BY term HAVING count(*) BETWEEN 2 AND 0.8 * (SELECT count(*) FROM d))
+SELECT company_id, {bar(sector_list('text', I.PART_SECTORS, 'basic'))} AS sectors, 4 AS top_k, 0.07e0 AS threshold, 'basic' AS mode,
+  FALSE AS ensure_one_tag, TRUE AS require_positive_best, 'cleaned_label' AS bonus_on, 2 AS min_df, 0.8e0 AS max_df,
+  0.5e0 AS tfidf_weight, 0.3e0 AS wordnet_weight, 0.1e0 AS keyword_weight,
+  (SELECT count(*) FROM d) AS n_docs, (SELECT count(*) FROM f) AS terms FROM d
+"""
 
 
 # --- TF-IDF ----------------------------------------------------------------
@@ -396,7 +402,7 @@ cos AS (SELECT c.id AS cid, CAST(l.id AS BIGINT) AS lid, sum(c.u * l.u) AS cos
 
 
 _turn = f"WITH {tfidf_ctes(TURNS, BENCH)} "
-SQL["tfidf_fit"] = _turn.replace(TURNS, DOCS) + "SELECT side, id, length(text) AS n_chars FROM docs"
+SQL["tfidf_fit"] = _turn.replace(TURNS, DOCS) + "SELECT term, df, round(idf, 6) AS idf, (SELECT count(*) FROM docs) AS n_docs FROM idf"
 SQL["tfidf_terms"] = _turn + "SELECT side || ':' || id AS doc, term, tf FROM tf"
 SQL["tfidf_df_prune"] = _turn + "SELECT term, df FROM idf"
 SQL["tfidf_idf"] = _turn + "SELECT term, round(idf, 6) AS idf FROM idf"
@@ -426,7 +432,7 @@ v AS (SELECT side, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY side, id)) A
 _as_id = "SELECT company_id AS id, text FROM ({})"
 SQL["tfidf_transform"] = (
     _turn[:-1] + ", " + under_vocabulary({"part": _as_id.format(PART_TEXTS), "document": _as_id.format(DOCS)})
-    + " SELECT side, CAST(id AS BIGINT) AS company_id, count(*) AS terms, round(sum(u), 6) AS total_weight FROM v GROUP BY ALL"
+    + " SELECT side, CAST(id AS BIGINT) AS company_id, term, round(u, 6) AS weight FROM v"
 )
 _doc = f"WITH {tfidf_ctes(DOCS, BENCH)} "
 SQL["sim_cosine"] = _doc + "SELECT CAST(cid AS BIGINT) AS company_id, lid AS label_id, round(cos, 6) AS score FROM cos"
@@ -513,7 +519,8 @@ scored AS (SELECT *,
   CASE WHEN max(raw * raw) OVER (PARTITION BY trial_id, cid) > 0 THEN raw * raw / max(raw * raw) OVER (PARTITION BY trial_id, cid) ELSE 0e0 END AS score,
   row_number() OVER (PARTITION BY trial_id, cid ORDER BY round(raw, 9) DESC, lid DESC) AS rank FROM raw),
 kept AS (SELECT * FROM scored WHERE rank <= top_k AND (round(score, 9) >= threshold OR rank = 1)),
-res AS (SELECT trial_id, cid, list(label ORDER BY rank) AS labels, list(score ORDER BY rank) AS scores FROM kept GROUP BY ALL)"""
+res AS (SELECT trial_id, cid, list(label ORDER BY rank) AS labels, list(score ORDER BY rank) AS scores,
+  list(raw ORDER BY rank) AS raws FROM kept GROUP BY ALL)"""
 
 
 DEFAULT = "SELECT 0 AS trial_id, 3 AS top_k, 0.05e0 AS threshold, 0.6e0 AS wt, 0.25e0 AS ww, 0.15e0 AS wk"
@@ -544,6 +551,9 @@ SQL["pipe_ensemble_opt"] = (
     f"WITH {ensemble_ctes(_combined, PART_LABELS, 'optimized', I.PART_SECTORS)}, {scored_ctes(DEFAULT)}" + shown_ensemble()
 )
 SQL["pipe_run"] = SQL["pipe_ensemble_opt"]
+SQL["pipe_ensemble_opt"] = SQL["pipe_run"].replace(
+    " FROM res", ", array_to_string(list_transform(raws, lambda x: CAST(round(x * 1000000, 0) AS BIGINT)), '|') AS insurance_label_raw_scores FROM res"
+)
 SQL["pipe_score_loaded"] = SQL["pipe_ensemble_opt"]
 SQL["pipe_ensemble_basic"] = (
     f"WITH {ensemble_ctes(_combined, PART_LABELS, 'basic', I.PART_SECTORS)}, {scored_ctes(DEFAULT)}" + shown_ensemble()
@@ -664,7 +674,7 @@ SQL["arr_parse_labels"] = _c + (
 )
 SQL["sink_export"] = _c + (
     "SELECT c_name AS description, CASE WHEN len(labels) > 0 THEN array_to_string(labels, ', ') ELSE 'Unclassified' END AS insurance_label, "
-    "c_mktsegment AS sector, len(scores) AS n_scores FROM classified"
+    "c_mktsegment AS sector, array_to_string(list_transform(scores, lambda x: printf('%.4f', x)), ', ') AS label_scores FROM classified"
 )
 
 # --- parameter search ------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from labelloom.functions import arrays as A
 from labelloom.functions import text as T
 from labelloom.operators import evaluation, features, guided, lemmas, lexicon, ranking, similarity, tfidf, tuning
+from labelloom.operators.ranking import Weights
 from labelloom.plans import classify, preprocess, runs
 from labelloom.plans.classify import Settings
 from labelloom.plans.scratch import materialize, scratch_path, widen
@@ -43,9 +44,9 @@ def scores_text(name: str) -> Column:
     ).alias(name)
 
 
-def show(df: DataFrame, key: str = "company_id") -> DataFrame:
+def show(df: DataFrame, key: str = "company_id", extra: list[Column] = ()) -> DataFrame:
     return df.select(
-        key, text_of("insurance_labels"), scores_text("insurance_label_scores"), "insurance_label"
+        key, text_of("insurance_labels"), scores_text("insurance_label_scores"), "insurance_label", *extra
     )
 
 
@@ -250,10 +251,15 @@ def pipe_generic(spark, sf):
 
 @query
 def pipe_both(spark, sf):
-    companies = preprocess.preprocess_companies(inputs.parts(spark, sf))
-    taxonomy = preprocess.preprocess_taxonomy(inputs.part_labels(spark, sf).drop("cleaned_label"))
+    """Both tables from their files, processed, written, and loaded again."""
+    company_path, label_path = (scratch_path(spark, n) + ".csv" for n in ("companies", "taxonomy"))
+    sinks.write_table(inputs.parts(spark, sf), company_path, "csv")
+    sinks.write_table(inputs.part_labels(spark, sf).select("label").orderBy("label").coalesce(1), label_path, "csv")
+    outputs = [scratch_path(spark, n) for n in ("processed_companies", "processed_taxonomy")]
+    preprocess.process_files(spark, company_path, label_path, *outputs)
+    companies, taxonomy = preprocess.process_files(spark, "nowhere.csv", "nowhere.csv", *outputs, reuse=True)
     left = companies.select(
-        F.lit("company").alias("side"), F.col("company_id").alias("id"),
+        F.lit("company").alias("side"), F.col("company_id").cast("bigint").alias("id"),
         F.col("cleaned_description").alias("cleaned"), text_of("description_bigrams").alias("bigrams"),
     )
     right = taxonomy.select(
@@ -317,8 +323,13 @@ def _turn_vocabulary(spark, sf):
 
 @query
 def tfidf_fit(spark, sf):
+    """The vocabulary fitted on documents and labels together."""
     both = tfidf.corpus(inputs.cleaned_documents(spark, sf), inputs.benchmark(spark, sf))
-    return both.select("side", "id", F.length("text").alias("n_chars"))
+    keyed = materialize(both.select(F.concat_ws(":", "side", "id").alias("doc"), "text"), "corpus")
+    counts = tfidf.term_counts(keyed, "doc", "text")
+    n_docs = keyed.count()
+    vocab = tfidf.kept_terms(tfidf.vocabulary(tfidf.document_frequency(counts), n_docs))
+    return vocab.select("term", "df", rounded("idf"), F.lit(n_docs).cast("bigint").alias("n_docs"))
 
 
 @query
@@ -359,9 +370,7 @@ def tfidf_transform(spark, sf):
     out = tfidf.transform(inputs.part_texts(spark, sf), "company_id", "combined_features", vocab)
     docs = tfidf.transform(inputs.cleaned_documents(spark, sf), "company_id", "combined_features", vocab)
     both = out.withColumn("side", F.lit("part")).unionByName(docs.withColumn("side", F.lit("document")))
-    return both.groupBy("side", "company_id").agg(
-        F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 6).alias("total_weight")
-    )
+    return both.select("side", "company_id", "term", rounded("weight"))
 
 
 @query
@@ -517,7 +526,8 @@ def _part_ensemble(spark, sf, settings):
 
 @query
 def pipe_ensemble_opt(spark, sf):
-    return show(_part_ensemble(spark, sf, PART_SETTINGS))
+    out = _part_ensemble(spark, sf, PART_SETTINGS)
+    return show(out, extra=[scores_text(ranking.RAW_SCORES)])
 
 
 @query
@@ -877,8 +887,7 @@ def sink_export(spark, sf):
     path = scratch_path(spark, "export") + ".csv"
     sinks.export_labels(d, path, description_column="c_name", include_scores=True)
     out = readers.read_csv(spark, path)
-    n = F.when(F.col("label_scores").isNull(), 0).otherwise(F.size(F.split("label_scores", ", ")))
-    return out.select("description", "insurance_label", "sector", n.alias("n_scores"))
+    return out.select("description", "insurance_label", "sector", F.coalesce("label_scores", F.lit("")).alias("label_scores"))
 
 
 @query
@@ -914,11 +923,27 @@ def model_vocabulary_merge(spark, sf):
     return tfidf.kept_terms(vocab).select("term", "df", rounded("idf"), F.lit(n_docs).cast("bigint").alias("n_docs"))
 
 
+SAVED_SETTINGS = Settings(
+    top_k=4, threshold=0.07, weights=Weights(0.5, 0.3, 0.1), mode="basic", ensure_one_tag=False,
+    require_positive_best=True, bonus_on="cleaned_label", min_df=2, max_df=0.8, sector_lexicon=inputs.PART_SECTORS,
+)
+
+
 @query
 def model_config_roundtrip(spark, sf):
-    path = scratch_path(spark, "settings")
-    models.save_settings(spark, PART_SETTINGS, path)
-    settings = models.load_settings(spark, path)
+    """All settings, the number of documents and the sector lexicon of a saved model."""
+    path = scratch_path(spark, "model")
     texts = inputs.part_texts(spark, sf)
+    counts = tfidf.term_counts(texts, "company_id", "combined_features")
+    n_docs = texts.count()
+    vocab = tfidf.vocabulary(tfidf.document_frequency(counts), n_docs, 2, 0.8)
+    models.save_model(models.Model(vocab, n_docs, SAVED_SETTINGS), path)
+    model = models.load_model(spark, path)
+    settings, w = model.settings, model.settings.weights
     out = lexicon.with_sectors(texts, "combined_features", "sectors", settings.mode, settings.sectors())
-    return out.select("company_id", text_of("sectors"))
+    scalar = ("top_k", "threshold", "mode", "ensure_one_tag", "require_positive_best", "bonus_on", "min_df", "max_df")
+    return out.select(
+        "company_id", text_of("sectors"), *[F.lit(getattr(settings, c)).alias(c) for c in scalar],
+        *[F.lit(getattr(w, c)).alias(f"{c}_weight") for c in ("tfidf", "wordnet", "keyword")],
+        F.lit(model.n_docs).cast("bigint").alias("n_docs"), F.lit(tfidf.kept_terms(model.vocab).count()).alias("terms"),
+    )
