@@ -127,7 +127,12 @@ def exact_median(values: DataFrame, column: str, slices: int = 2000, small: int
     counted = values.select(F.col(column).alias("v")).where(v.isNotNull()).groupBy("v").agg(
         F.count(F.lit(1)).alias("n")
     )
-    counted = materialize(counted, "score_counts")
+    return median_of_counts(materialize(counted, "score_counts"), slices, small)
+
+
+def median_of_counts(counted: DataFrame, slices: int = 2000, small: int = 20_000) -> float | None:
+    """``exact_median`` of values ``v`` that occur ``n`` times each."""
+    v = F.col("v")
     total = counted.agg(F.sum("n")).first()[0]
     if not total:
         return None
@@ -190,6 +195,24 @@ def score_histogram(df: DataFrame) -> DataFrame:
 
 # --- reports ---------------------------------------------------------------
 
+def section(name: str, rows: DataFrame) -> DataFrame:
+    metric, value = rows.columns
+    return rows.select(
+        F.lit(name).alias("section"),
+        F.col(metric).alias("metric"),
+        F.col(value).cast("double").alias("value"),
+    )
+
+
+def wide(name: str, rows: DataFrame) -> DataFrame:
+    """A section with one metric per column."""
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+        for c in rows.columns
+    ])
+    return section(name, rows.select(F.inline(cells)))
+
+
 def evaluation_report(df: DataFrame, key: str = "company_id") -> DataFrame:
     """``(section, metric, value)`` of all statistics."""
     has_scores = "insurance_label_scores" in df.columns
@@ -197,21 +220,6 @@ def evaluation_report(df: DataFrame, key: str = "company_id") -> DataFrame:
     # written once: every section reads it
     df = materialize(df.select(*columns), "classified")
 
-    def section(name: str, rows: DataFrame) -> DataFrame:
-        metric, value = rows.columns
-        return rows.select(
-            F.lit(name).alias("section"),
-            F.col(metric).alias("metric"),
-            F.col(value).cast("double").alias("value"),
-        )
-
-    def wide(name: str, rows: DataFrame) -> DataFrame:
-        cells = F.array(*[
-            F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
-            for c in rows.columns
-        ])
-        return section(name, rows.select(F.inline(cells)))
-
     parts = [
         wide("general", summary(df)),
         section("labels_per_company", label_histogram(df)),

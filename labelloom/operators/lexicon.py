@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,6 +11,9 @@ from labelloom.functions import lexicons
 from labelloom.functions.arrays import empty_strings, unnest, words
 from labelloom.plans.joins import lookup_join
 
+#: Sectors in one integer.
+MASK_BITS = 62
+
 
 def expand_synonyms(
     df: DataFrame,
@@ -70,21 +73,16 @@ def expand_synonyms_full(
     )
 
 
-def with_sectors(
-    df: DataFrame,
-    column: str,
-    name: str = "insurance_sectors",
-    mode: str = "optimized",
-    lexicon: dict[str, list[str]] = None,
-) -> DataFrame:
-    """Sectors with a keyword in the text, in lexicon order.
+def _sector_tests(
+    df: DataFrame, column: str, mode: str, lexicon: dict[str, list[str]]
+) -> tuple[DataFrame, list[Column]]:
+    """``df`` with helper columns, and whether the text has each sector.
 
     Optimized: a one-word keyword must be a word of the text, a phrase a
     substring.  Basic: any keyword as a substring.
     """
     if mode not in ("optimized", "basic"):
         raise ValueError(f"Unknown mode: {mode}")
-    lexicon = lexicons.SECTOR_KEYWORDS if lexicon is None else lexicon
     by_word = {
         s: [k for k in ks if mode == "optimized" and " " not in k]
         for s, ks in lexicon.items()
@@ -104,8 +102,64 @@ def with_sectors(
             tests.insert(0, F.arrays_overlap("_hits", F.array(*map(F.lit, by_word[sector]))))
         return reduce(or_, tests, F.lit(False))
 
-    found = F.array(*[F.when(matches(s), F.lit(s)) for s in lexicon])
-    return out.withColumn(name, F.filter(found, lambda s: s.isNotNull())).drop("_text", "_hits")
+    return out, [matches(s) for s in lexicon]
+
+
+def with_sectors(
+    df: DataFrame,
+    column: str,
+    name: str = "insurance_sectors",
+    mode: str = "optimized",
+    lexicon: dict[str, list[str]] = None,
+) -> DataFrame:
+    """Sectors with a keyword in the text, in lexicon order."""
+    lexicon = lexicons.SECTOR_KEYWORDS if lexicon is None else lexicon
+    out, found = _sector_tests(df, column, mode, lexicon)
+    named = F.array(*[F.when(f, F.lit(s)) for s, f in zip(lexicon, found)])
+    return out.withColumn(name, F.filter(named, lambda s: s.isNotNull())).drop("_text", "_hits")
+
+
+def with_sector_masks(
+    df: DataFrame,
+    column: str,
+    name: str = "sector_masks",
+    mode: str = "optimized",
+    lexicon: dict[str, list[str]] = None,
+) -> DataFrame:
+    """The sectors of the text as bits, in lexicon order: an array with one
+    integer per ``MASK_BITS`` sectors, so that any lexicon fits."""
+    lexicon = lexicons.SECTOR_KEYWORDS if lexicon is None else lexicon
+    out, found = _sector_tests(df, column, mode, lexicon)
+    masks = [
+        reduce(add, [F.when(f, F.lit(1 << i)).otherwise(0).cast("bigint") for i, f in enumerate(found[at : at + MASK_BITS])])
+        for at in range(0, len(found), MASK_BITS)
+    ]
+    return out.withColumn(name, F.array(*masks) if masks else F.array(F.lit(0).cast("bigint"))).drop("_text", "_hits")
+
+
+def mask_bits(masks: Column) -> Column:
+    """Numbers of the sectors that are set."""
+    def of(mask: Column, at: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.lit(MASK_BITS - 1))
+        return F.transform(F.filter(numbers, lambda i: F.getbit(mask, i) == 1), lambda i: i + at * MASK_BITS)
+
+    return F.flatten(F.transform(masks, of))
+
+
+def mask_key(masks: Column) -> Column:
+    """Text of a set of sectors for equality; empty for the empty set."""
+    some = F.exists(masks, lambda m: m != 0)
+    return F.when(some, F.array_join(F.transform(masks, lambda m: m.cast("string")), ",")).otherwise("")
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Common bits over all bits of two sets of sectors; null for two empty ones."""
+    def total(both: Column) -> Column:
+        return F.aggregate(both, F.lit(0), lambda n, m: n + F.bit_count(m))
+
+    every = total(F.zip_with(a, b, lambda x, y: x.bitwiseOR(y)))
+    common = total(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))
+    return F.when(every > 0, common / every)
 
 
 def sector_table(spark, lexicon: dict[str, list[str]] = None) -> DataFrame:

@@ -120,10 +120,9 @@ def company_features(
             )
         )
     if "sectors" in kinds:
-        mapped = lex.with_sectors(spread.select(key, text), text, "s", mode, sectors)
-        joined = mapped.select(key, F.array_join("s", "|").alias("s"))
+        mapped = lex.with_sector_masks(spread.select(key, text), text, "s", mode, sectors)
         parts.append(
-            joined.select(*_feature(key, "sectors", F.col("s"), F.lit(1)))
+            mapped.select(*_feature(key, "sectors", lex.mask_key(F.col("s")), F.lit(1)))
             .where(F.col("term") != "")
         )
     rows = parts[0]
@@ -141,7 +140,8 @@ def label_features(
     synonyms: DataFrame = None,
     key: str = "label_id",
 ) -> DataFrame:
-    """``labels`` with ``key_terms``, ``synonyms`` and ``insurance_sectors``."""
+    """``labels`` with ``key_terms``, ``synonyms``, ``insurance_sectors`` and
+    ``sector_masks``."""
     out = with_key_terms(labels, "cleaned_label", mode)
     if mode == "optimized":
         out = lex.expand_synonyms(
@@ -149,7 +149,8 @@ def label_features(
         ).drop("_top")
     else:
         out = lex.expand_synonyms_full(out, key, "key_terms", synonyms)
-    return lex.with_sectors(out, "cleaned_label", "insurance_sectors", mode, sectors)
+    out = lex.with_sectors(out, "cleaned_label", "insurance_sectors", mode, sectors)
+    return lex.with_sector_masks(out, "cleaned_label", "sector_masks", mode, sectors)
 
 
 def boosted(jaccard: Column) -> Column:
@@ -157,24 +158,27 @@ def boosted(jaccard: Column) -> Column:
 
 
 def sector_scores(company_sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(term, label_id, value)`` for distinct company sector sets.
+    """``(term, label_id, value)`` for distinct company sector sets, whose ``term``
+    is the key of their masks.
 
-    A pair exists when the two sets share a sector, so the sets are joined on
-    the sector.  There are at most 2^sectors distinct sets.
+    Sets that share a sector are found by a join on its number; every distinct
+    pair of sets is scored once, and labels are joined to it by their set.
     """
-    left = company_sets.select(
-        "term", F.split("term", r"\|").alias("s")
-    )
-    left = unnest(left, ["term", F.size("s").alias("n")], F.col("s"), "sector")
-    right = unnest(
-        labels, ["label_id", F.size("insurance_sectors").alias("m")],
-        F.col("insurance_sectors"), "sector",
-    )
-    common = left.join(right, "sector").groupBy("term", "label_id", "n", "m").agg(
-        F.count(F.lit(1)).alias("c")
-    )
-    jaccard = F.col("c") / (F.col("n") + F.col("m") - F.col("c"))
-    return common.select("term", "label_id", boosted(jaccard).alias("value"))
+    masks = F.split("term", ",").cast("array<bigint>") if _is_wide(labels) else F.array(F.col("term").cast("bigint"))
+    left = company_sets.select("term", masks.alias("a"))
+    own = labels.select("label_id", lex.mask_key(F.col("sector_masks")).alias("_set"), F.col("sector_masks").alias("b"))
+    right = own.where("_set <> ''").groupBy("_set").agg(F.first("b").alias("b"))
+    pairs = unnest(left, ["term", "a"], lex.mask_bits(F.col("a")), "sector").join(
+        unnest(right, ["_set", "b"], lex.mask_bits(F.col("b")), "sector"), "sector"
+    ).select("term", "_set", "a", "b").distinct()
+    scored = pairs.select("term", "_set", boosted(lex.jaccard(F.col("a"), F.col("b"))).alias("value"))
+    return lookup_join(own.select("label_id", "_set"), scored, ["_set"], spread="label_id").select("term", "label_id", "value")
+
+
+def _is_wide(labels: DataFrame) -> bool:
+    """Whether sets of sectors take more than one integer, the same for all rows."""
+    row = labels.select(F.size("sector_masks").alias("n")).first()
+    return row is not None and row["n"] > 1
 
 
 def label_table(

@@ -554,7 +554,7 @@ SQL["pipe_run"] = SQL["pipe_ensemble_opt"]
 SQL["pipe_ensemble_opt"] = SQL["pipe_run"].replace(
     " FROM res", ", array_to_string(list_transform(raws, lambda x: CAST(round(x * 1000000, 0) AS BIGINT)), '|') AS insurance_label_raw_scores FROM res"
 )
-SQL["pipe_score_loaded"] = SQL["pipe_ensemble_opt"]
+SQL["pipe_score_loaded"] = SQL["pipe_run"]
 SQL["pipe_ensemble_basic"] = (
     f"WITH {ensemble_ctes(_combined, PART_LABELS, 'basic', I.PART_SECTORS)}, {scored_ctes(DEFAULT)}" + shown_ensemble()
 )
@@ -659,6 +659,7 @@ SQL["eval_report"] = _c + " UNION ALL ".join([
     section("score_ranges", _bins, "score_range", "assignments"),
 ])
 SQL["sink_report"] = SQL["eval_report"]
+SQL["eval_report_merged"] = SQL["eval_report"]
 SQL["eval_chart_data"] = _c + " UNION ALL ".join(
     f"SELECT {q(n)} AS chart, {x} AS x, {y} AS y FROM ({s})"
     for n, s, x, y in (("top_labels", _top.format("DESC"), "label", "assignments"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelloom.functions import arrays as A
 from labelloom.functions import text as T
-from labelloom.operators import evaluation, features, guided, lemmas, lexicon, ranking, similarity, tfidf, tuning
+from labelloom.operators import evaluation, evaluation_state, features, guided, lemmas, lexicon, ranking, similarity, tfidf, tuning
 from labelloom.operators.ranking import Weights
 from labelloom.plans import classify, preprocess, runs
 from labelloom.plans.classify import Settings
@@ -663,6 +663,18 @@ def eval_report(spark, sf):
     return out.withColumn("value", F.round("value", 6))
 
 
+@query
+def eval_report_merged(spark, sf):
+    """The report over four runs from their states, one of them run twice."""
+    classified = materialize(inputs.classified(spark, sf), "classified")
+    path = scratch_path(spark, "states")
+    evaluation_state.save_state(classified.where("company_id % 2 = 0"), path, "r0")
+    for i in range(4):
+        evaluation_state.save_state(classified.where(F.col("company_id") % 4 == i), path, f"r{i}")
+    out = evaluation_state.report(evaluation_state.load_state(spark, path))
+    return out.withColumn("value", F.round("value", 6))
+
+
 @query
 def eval_chart_data(spark, sf):
     return evaluation.chart_data(inputs.classified(spark, sf))

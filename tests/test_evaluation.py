@@ -2,8 +2,10 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
-from labelloom.operators import evaluation as E
+from labelloom.operators import evaluation, evaluation as E, evaluation_state
+from labelloom.sources import sinks
 
 
 def table(spark, rows):
@@ -55,3 +57,36 @@ def test_report(spark):
         "scores", "score_ranges",
     }
     assert {r["chart"] for r in E.chart_data(df).collect()} == {"top_labels", "labels_per_company", "score_ranges"}
+
+
+def test_merged_states_report_like_the_union(spark, tmp_path):
+    rng = random.Random(7)
+    rows = []
+    for i in range(300):
+        n = rng.choice([0, 0, 1, 2, 3, 5, None])
+        names = None if n is None else [rng.choice("abcdefghijklm") for _ in range(n)]
+        scores = None if n is None else [rng.choice([0.0, 0.25, 1.0, rng.random(), 1.5]) for _ in range(n)]
+        rows.append((i, names, scores))
+    df = spark.createDataFrame(rows, "company_id long, insurance_labels array<string>, insurance_label_scores array<double>")
+    path = str(tmp_path / "states")
+    evaluation_state.save_state(df.where("company_id < 5"), path, "b")
+    for run, part in (("a", "company_id < 100"), ("b", "company_id BETWEEN 100 AND 180"), ("c", "company_id > 180"), ("d", "false")):
+        evaluation_state.save_state(df.where(part), path, run)
+
+    def report(out):
+        return sorted((r["section"], r["metric"], round(r["value"], 9)) for r in out.collect())
+
+    assert report(evaluation_state.report(evaluation_state.load_state(spark, path))) == report(evaluation.evaluation_report(df))
+    two = evaluation_state.load_state(spark, path, "a", "b")
+    assert report(evaluation_state.report(two)) == report(evaluation.evaluation_report(df.where("company_id <= 180")))
+    bare = df.drop("insurance_label_scores")
+    assert report(evaluation_state.report(evaluation_state.state(bare))) == report(evaluation.evaluation_report(bare))
+    nothing = evaluation_state.report(evaluation_state.state(df.where("false"))).where("section = 'general'")
+    assert {r["value"] for r in nothing.collect()} == {0.0}
+
+
+@pytest.mark.parametrize("score,text", [(0.03125, "0.0312"), (0.09375, "0.0938"), (0.00125, "0.0013"), (1.0, "1.0000"), (0.99995, "1.0000"), (0.0, "0.0000")])
+def test_scores_are_written_as_python_rounds_them(spark, score, text):
+    assert text == f"{score:.4f}"
+    df = spark.createDataFrame([(score,)], "x double")
+    assert df.select(sinks.four_decimals(F.col("x")).alias("t")).first()["t"] == text

@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from labelloom.operators import features, lexicon, tfidf
-from labelloom.plans import joins, preprocess
+from labelloom.operators import features, lexicon, lexicon as lex, tfidf
+from labelloom.plans import classify, joins, preprocess
+from labelloom.plans.classify import Settings
 
 
 def test_combined_text(spark):
@@ -98,3 +99,34 @@ def test_lookup_join_beyond_the_broadcast_bound(spark, monkeypatch):
         out = joins.lookup_join(big, small, ["k"], "id", how)
         assert sorted(map(tuple, out.collect())) == rows
     assert joins.hot_keys(big, ["k"]).count() == 1
+
+
+def test_sector_masks_of_a_wide_lexicon(spark):
+    wide = {f"s{i}": [f"word{i}x"] for i in range(150)}
+    texts = ["word0x word61x word62x word149x", "word62x", "nothing", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "company_id long, t string")
+    for lexicon, want in ((wide, [{0, 61, 62, 149}, {62}, set(), set()]), ({}, [set()] * 4)):
+        rows = lex.with_sector_masks(df, "t", "m", "basic", lexicon).select("company_id", lex.mask_bits(F.col("m")).alias("bits"), lex.mask_key(F.col("m")).alias("key"))
+        got = {r["company_id"]: r for r in rows.collect()}
+        assert [set(got[i]["bits"]) for i in range(4)] == want
+        assert [got[i]["key"] == "" for i in range(4)] == [not w for w in want]
+
+
+@pytest.mark.parametrize("sectors", [5, 130])
+def test_sector_scores_equal_sets_of_names(spark, sectors):
+    rng = random.Random(sectors)
+    lexicon = {f"s{i}": [f"key{i}z"] for i in range(sectors)}
+    sets = lambda n: [rng.sample(range(sectors), rng.randint(0, 4)) for _ in range(n)]
+    c, l = sets(25), sets(25)
+    text = lambda s: " ".join(f"key{i}z" for i in s)
+    companies = spark.createDataFrame([(i, text(s)) for i, s in enumerate(c)], "company_id long, combined_features string")
+    labels = spark.createDataFrame([(i, text(s), text(s)) for i, s in enumerate(l)], "label_id long, label string, cleaned_label string")
+    _, pairs = classify.ensemble_pairs(companies, labels, Settings(sector_lexicon=lexicon))
+    got = {(r["company_id"], r["label_id"]): r["keyword"] for r in pairs.collect() if r["keyword"] > 0}
+    want = {}
+    for i, a in enumerate(c):
+        for j, b in enumerate(l):
+            if both := set(a) & set(b):
+                share = len(both) / len(set(a) | set(b))
+                want[i, j] = 0.5 + share * 0.5 if share > 0.5 else share
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
