@@ -14,9 +14,9 @@ A company's dot product with any label is at most the sum of its terms' bounds,
 * The k-th best of a company's partial sums raises the bar once more.  Only pairs
   that still reach it are completed by their non-essential terms.
 
-All bounds are exact, so the ranked pairs are those of the full join.  Bounds,
-bars and candidates are aggregations and windows by company on rows already
-bucketed by company, the label side is joined by ``lookup_join``.
+All bounds are exact, so the ranked pairs are those of the full join.  A company's
+terms are one row of arrays (never more than its text holds); all steps keep the
+companies' partitioning, and the label side is joined by ``lookup_join``.
 """
 
 from __future__ import annotations
@@ -32,40 +32,54 @@ SLACK = 1e-8
 
 def term_bounds(postings: DataFrame, top_k: int) -> DataFrame:
     """``(term, best, floor, n)`` of label postings ``(term, label_id, value)``:
-    greatest value, ``top_k``-th greatest value (0 for fewer labels), labels."""
+    greatest value, ``top_k``-th greatest value (0 for fewer labels) and labels of
+    every term.  One shuffle by term gives all three."""
     place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("value")))
-    strongest = postings.select("term", "value", place.alias("place")).where(F.col("place") <= top_k)
-    edges = strongest.groupBy("term").agg(
+    ranked = postings.select("term", "value", place.alias("place"))
+    return ranked.groupBy("term").agg(
         F.max("value").alias("best"),
         F.coalesce(F.max(F.when(F.col("place") == top_k, F.col("value"))), F.lit(0.0)).alias("floor"),
+        F.count(F.lit(1)).alias("n"),
     )
-    return edges.join(postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term")
 
 
-def bounded_terms(
-    grams: DataFrame, norms: DataFrame, bounds: DataFrame, key: str, threshold: float
-) -> DataFrame:
-    """Company terms that some label has, with ``bound``, ``bar``, ``total`` (of
-    all bounds), ``rest`` (of the non-essential ones) and ``essential``."""
-    known = lookup_join(grams.select(key, "term", "w"), bounds, ["term"], spread=key).join(norms, key)
-    mine, bound = Window.partitionBy(key), F.col("w") * F.col("best")
-    reach = F.greatest(F.max(F.col("w") * F.col("floor")).over(mine), F.lit(float(threshold)) * F.col("norm"))
-    cheap = mine.orderBy(F.col("bound") / F.col("n"), "term").rowsBetween(Window.unboundedPreceding, 0)
-    essential = F.sum("bound").over(cheap) >= F.col("bar")
-    return (
-        known.withColumn("bound", bound)
-        .withColumns({"bar": reach - SLACK * F.col("norm"), "total": F.sum("bound").over(mine)})
-        .withColumn("essential", essential)
-        .withColumn("rest", F.coalesce(F.sum(F.when(~F.col("essential"), F.col("bound"))).over(mine), F.lit(0.0)))
-        .select(key, "term", "w", "norm", "bound", "bar", "total", "rest", "essential")
+def bounded_terms(grams: DataFrame, norms: DataFrame, bounds: DataFrame, key: str, threshold: float) -> DataFrame:
+    """One row per company that shares a term with a label: ``norm``, ``bar``,
+    ``total`` (of all bounds), ``rest`` (of the non-essential ones), and its terms
+    as arrays ``essential`` and ``others`` of (cheap, term, w, bound)."""
+    bound = F.col("w") * F.col("best")
+    known = lookup_join(grams.select(key, "term", "w"), bounds, ["term"], spread=key)
+    term = F.struct((bound / F.col("n")).alias("cheap"), "term", "w", bound.alias("bound"))
+    sums = known.groupBy(key).agg(
+        F.max(F.col("w") * F.col("floor")).alias("reach"), F.sum(bound).alias("total"),
+        F.sort_array(F.collect_list(term)).alias("terms"),
+    )
+    bar = F.greatest(F.col("reach"), F.lit(float(threshold)) * F.col("norm")) - F.lit(SLACK) * F.col("norm")
+
+    def take(state: Column, t: Column) -> Column:
+        # bounds are positive: after one term that does not fit, no other does
+        fits = state["rest"] + t["bound"] < state["bar"]
+        return F.struct(
+            state["bar"].alias("bar"),
+            F.when(fits, state["rest"] + t["bound"]).otherwise(state["rest"]).alias("rest"),
+            (state["n"] + F.when(fits & (state["n"] == state["seen"]), 1).otherwise(0)).alias("n"),
+            (state["seen"] + 1).alias("seen"),
+        )
+
+    start = F.struct(F.col("bar").alias("bar"), F.lit(0.0).alias("rest"), F.lit(0).alias("n"), F.lit(0).alias("seen"))
+    cut = F.aggregate("terms", start, take)
+    rows = sums.join(norms, key).withColumn("bar", bar).withColumn("cut", cut)
+    return rows.select(
+        key, "norm", "bar", "total", "cut.rest",
+        F.slice("terms", F.col("cut.n") + 1, F.size("terms")).alias("essential"),
+        F.slice("terms", F.lit(1), F.col("cut.n")).alias("others"),
     )
 
 
-def partial_sums(terms: DataFrame, postings: DataFrame, key: str) -> DataFrame:
+def partial_sums(companies: DataFrame, postings: DataFrame, key: str) -> DataFrame:
     """Every formed pair with the sum over its essential terms."""
-    met = lookup_join(
-        terms.where("essential").drop("essential"), postings.select("term", "label_id", "value"), ["term"], spread=key
-    ).withColumn("product", F.col("w") * F.col("value"))
+    terms = companies.select(key, "norm", "bar", "total", "rest", F.inline("essential"))
+    met = lookup_join(terms, postings, ["term"], spread=key).withColumn("product", F.col("w") * F.col("value"))
     return (
         met.where(F.col("product") + F.col("total") - F.col("bound") >= F.col("bar"))
         .groupBy(key, "label_id")
@@ -81,28 +95,23 @@ def survivors(pairs: DataFrame, key: str, top_k: int) -> DataFrame:
     return pairs.withColumn("kth", kth).where(F.col("partial") + F.col("rest") >= bar).drop("kth", "bar", "rest")
 
 
-def _completed(pairs: DataFrame, terms: DataFrame, postings: DataFrame, key: str) -> DataFrame:
+def _completed(pairs: DataFrame, companies: DataFrame, postings: DataFrame, key: str) -> DataFrame:
     """``dot`` of every pair: its partial sum and the non-essential terms both have."""
-    vectors = postings.groupBy("label_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "value"))).alias("vector")
+    others = pairs.join(companies.select(key, "others"), key)
+    looked_up = others.select(key, "label_id", "norm", "partial", F.explode_outer("others").alias("t")).select(
+        key, "label_id", "norm", "partial", F.col("t.term").alias("term"), F.col("t.w").alias("w")
     )
-    others = terms.where("NOT essential").groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("others")
+    found = lookup_join(looked_up, postings, ["term", "label_id"], spread=key, how="left")
+    added = F.coalesce(F.sum(F.col("w") * F.col("value")), F.lit(0.0))
+    return found.groupBy(key, "label_id").agg(
+        F.first("norm").alias("norm"), (F.first("partial") + added).alias("dot")
     )
-    pairs = lookup_join(pairs.join(others, key, "left"), vectors, ["label_id"], spread=key)
-
-    def product(term: Column) -> Column:
-        return F.element_at("others", term) * F.element_at("vector", term)
-
-    common = F.array_intersect(F.map_keys("others"), F.map_keys("vector"))
-    added = F.aggregate(common, F.lit(0.0), lambda total, term: total + product(term))
-    return pairs.select(key, "label_id", "norm", (F.col("partial") + F.coalesce(added, F.lit(0.0))).alias("dot"))
 
 
 def best_pairs(
     grams: DataFrame, norms: DataFrame, postings: DataFrame, key: str, top_k: int, threshold: float
 ) -> DataFrame:
-    """``(key, label_id, dot, norm)`` of pairs that hold every company's ``top_k``
+    """``(key, label_id, norm, dot)`` of pairs that hold every company's ``top_k``
     best ones at or above ``threshold`` (a cosine).
 
     ``grams`` are company postings ``(key, term, w)`` bucketed by ``key``,
@@ -110,7 +119,8 @@ def best_pairs(
     """
     bounds = materialize(term_bounds(postings, top_k), "term_bounds")
     width = shuffle_width(grams)
-    terms = bounded_terms(grams, norms, bounds, key, threshold)
-    terms = materialize_bucketed(terms.repartition(width, key), "bounded_terms", key, width)
-    pairs = survivors(partial_sums(terms, postings, key), key, top_k)
-    return _completed(pairs, terms, postings, key)
+    companies = materialize_bucketed(
+        bounded_terms(grams, norms, bounds, key, threshold), "bounded_terms", key, width
+    )
+    pairs = survivors(partial_sums(companies, postings, key), key, top_k)
+    return _completed(pairs, companies, postings, key)

@@ -13,10 +13,8 @@ from labelloom.operators.features import require_columns
 from labelloom.plans.joins import HOT_KEYS, fits_broadcast, hot_keys
 from labelloom.plans.scratch import shuffle_width
 
-#: Bits of one block of a term filter (what one bitmap holds), and of all of them:
-#: 32 MB at most are broadcast.
-BLOCK_BITS = 1 << 15
-FILTER_BITS = 1 << 28
+#: Bits of a term filter: at most 2**20 rows of 64 bits are broadcast.
+FILTER_BITS = 1 << 26
 
 
 def corpus(
@@ -94,32 +92,26 @@ def kept_terms(vocab: DataFrame) -> DataFrame:
 
 
 def term_filter(terms: DataFrame, count: int) -> tuple[DataFrame, int]:
-    """Bitmaps ``(_block, _bits)`` of the hashed ``terms`` and their length in bits.
+    """Bits ``(_word, _bits)`` of the hashed ``terms``, 64 a row, and their number.
 
     About sixteen bits a term up to ``FILTER_BITS``, so that they may be
     broadcast whatever ``count`` is; more terms only make the filter less sharp.
     """
-    size = BLOCK_BITS
+    size = 64
     while size < min(16 * count, FILTER_BITS):
         size *= 2
-    slot = F.pmod(F.xxhash64("term"), F.lit(size))
-    blocks = terms.groupBy(F.floor(slot / BLOCK_BITS).alias("_block")).agg(
-        F.bitmap_construct_agg(slot % BLOCK_BITS).alias("_bits")
-    )
-    return blocks, size
+    slot = F.xxhash64("term").bitwiseAND(size - 1)
+    bit = F.expr("shiftleft(1L, cast(_slot & 63 AS int))")
+    words = terms.select(slot.alias("_slot")).select(F.shiftright("_slot", 6).alias("_word"), bit.alias("_bit"))
+    return words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), size
 
 
-def with_filter_bit(postings: DataFrame, blocks: DataFrame, size: int, name: str) -> DataFrame:
+def with_filter_bit(postings: DataFrame, words: DataFrame, size: int, name: str) -> DataFrame:
     """``postings`` with ``name``: false only for terms that the filter has not seen."""
-    slot = F.pmod(F.xxhash64("term"), F.lit(size))
-    place = slot % BLOCK_BITS
-    octet = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10)
-    return (
-        postings.withColumn("_block", F.floor(slot / BLOCK_BITS))
-        .join(F.broadcast(blocks), "_block", "left")
-        .withColumn(name, F.coalesce(F.getbit(octet.cast("long"), (place % 8).cast("int")) == 1, F.lit(False)))
-        .drop("_block", "_bits")
-    )
+    marked = postings.withColumn("_slot", F.xxhash64("term").bitwiseAND(size - 1))
+    marked = marked.withColumn("_word", F.shiftright("_slot", 6)).join(F.broadcast(words), "_word", "left")
+    bit = F.getbit("_bits", F.col("_slot").bitwiseAND(63).cast("int"))
+    return marked.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("_slot", "_word", "_bits")
 
 
 def weigh(
@@ -147,15 +139,15 @@ def weigh(
         hot_idf = known.join(F.broadcast(hot), "term", "left_semi")
         cold = postings.join(F.broadcast(hot), "term", "left_anti")
         return postings.join(F.broadcast(hot_idf), "term").unionByName(cold.join(known, "term"))
-    total, several = vocab.agg(F.sum("df"), F.count(F.when(F.col("df") > 1, 1))).first()
-    single = vocab.where(F.col("df") == 1).select("idf").first()
-    single_idf = F.lit(single["idf"] if single else None).cast("double")
+    once = F.col("df") == 1
+    total, several, single = vocab.agg(F.sum("df"), F.count(F.when(~once, 1)), F.max(F.when(once, F.col("idf")))).first()
+    single_idf = F.lit(single).cast("double")
     repeated = vocab.where(F.col("df") > 1).select("term", "idf", F.lit(True).alias("_seen"))
     hot = repeated.join(
         F.broadcast(vocab.where(F.col("df") * HOT_KEYS > total).select("term")), "term", "left_semi"
     ).withColumnRenamed("_seen", "_hot")
-    blocks, size = term_filter(repeated, several)
-    marked = with_filter_bit(postings.join(F.broadcast(hot), "term", "left"), blocks, size, "_several")
+    words, size = term_filter(repeated, several)
+    marked = with_filter_bit(postings.join(F.broadcast(hot), "term", "left"), words, size, "_several")
     is_hot = F.coalesce("_hot", F.lit(False))
     local = marked.where(is_hot | ~F.col("_several")).withColumn(
         "idf", F.when(is_hot, F.col("idf")).otherwise(single_idf)

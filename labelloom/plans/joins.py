@@ -7,7 +7,11 @@ tied to one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from labelloom.plans.scratch import materialize, shuffle_width
 
@@ -16,19 +20,26 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_KEYS = 20_000
 
 
+def _octets(field) -> Column:
+    """About the bytes of a value: exact for text, as JSON for nested values."""
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(field.dataType, (ArrayType, MapType, StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    return F.lit(8)
+
+
 def fits_broadcast(df: DataFrame, rows: int = None, size: int = None) -> bool:
-    """True when ``df`` has at most ``rows`` rows and ``size`` bytes as JSON.
+    """True when ``df`` has at most ``rows`` rows and ``size`` bytes.
 
     Every task counts its own rows; nothing is gathered for the check.
     """
     rows = BROADCAST_ROWS if rows is None else rows
     size = BROADCAST_BYTES if size is None else size
-    seen, octets = (
-        df.select(F.octet_length(F.to_json(F.struct(*df.columns))).alias("b"))
-        .agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0)))
-        .first()
-    )
-    return seen <= rows and octets <= size
+    octets = reduce(add, [_octets(f) for f in df.schema], F.lit(0))
+    seen, total = df.select(octets.alias("b")).agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return seen <= rows and total <= size
 
 
 def hot_keys(big: DataFrame, keys: list[str]) -> DataFrame:
