@@ -25,10 +25,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelloom.llm.common import SPACES, count_chars, let, words
+from labelloom.plans.joins import fits_broadcast
 from labelloom.plans.scratch import materialize
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+#: Ids of labelled documents that may be broadcast (16 MB as numbers).
+LABELLED = 2_000_000
 _SHARE = [0.0, 0.005, 0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
 
 #: Statistic -> candidate thresholds.
@@ -263,7 +266,13 @@ def _best(seen, names, min_cover: int) -> Condition | None:
 
 
 def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, s and quality of the labelled documents.  The statistics are made
-    before the join, so that small rows are shuffled and not the texts."""
+    """doc_id, s and quality of the labelled documents.
+
+    While the labelled ids can be broadcast, only their texts are measured; beyond
+    that the statistics of all are made before the join, so that small rows are
+    shuffled and not the texts."""
     marks = labels.select("doc_id", "quality").where("quality IS NOT NULL AND doc_id IS NOT NULL")
+    ids = marks.select("doc_id").distinct()
+    if fits_broadcast(ids, rows=LABELLED):
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
     return docs.select("doc_id", statistics(F.col("text")).alias("s")).join(marks, "doc_id").select("doc_id", "quality", "s")

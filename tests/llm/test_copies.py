@@ -30,15 +30,6 @@ def test_masks_cover_every_pair_within_the_radius(one, flips):
     assert any((one ^ other) & m == 0 for m in simhash.masks(list(range(64))))
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=3), st.integers(5, 8))
-def test_pigeonhole_covers_every_pair_within_the_radius(one, flips, blocks):
-    other = one
-    for b in flips:
-        other ^= 1 << b
-    assert any((one ^ other) & m == 0 for m in lines.pigeonhole(list(range(64)), blocks))
-
-
 def test_simhash_on_edges(spark):
     rows = simhash.near_duplicates(edge_docs(spark)).collect()
     prints = [plain_fingerprint(t) for _, t in TEXTS]
@@ -88,17 +79,12 @@ def test_components(spark):
 def plain_lines(texts):
     """Groups of occurrences (doc_id, text, line) by brute force."""
     found = list(lines.line_hashes([t for _, t in texts]))
-    fps = lines.simhashes([x[3] for x in found])
     n = len(found)
     links = [
         (i, j)
         for i in range(n)
         for j in range(i)
-        if found[i][2] == found[j][2]
-        or (
-            (int(fps[i] ^ fps[j]) % 2**64).bit_count() <= lines.RADIUS
-            and lines.similar(found[i][3].astype("u4"), found[j][3].astype("u4"))
-        )
+        if found[i][2] == found[j][2] or lines.similar(found[i][3].astype("u4"), found[j][3].astype("u4"))
     ]
     root = union_find(links, n)
     return [(texts[x[0]], x[1], root[i]) for i, x in enumerate(found)], root
