@@ -117,19 +117,24 @@ THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 ]
 
 _SCHEMA = "license string, text string"
-# A copyright statement has a mark, a year or a name after the word, and ends with its
-# line or where a known text begins; "copyright holders", "owner" or "notice" is text.
-_STATEMENT = (
-    r"(?m)^[ \t*#/;-]*(?:copyright(?!\s+(?:holder|owner|notice|law|license|licence|and\b|or\b|in\b|to\b))\b"
-    r"|\(c\)|©|all rights reserved)"
-    r"(?:(?!permission is hereby|permission to use|redistribution and use)[^\n])*"
-)
+_GAP = r"[ \t\n\x0b\f\r]+"
+#: Patterns and what becomes of them, in this order; {1} is the first group.  A
+#: copyright statement has a mark, a year or a name after the word, and ends with its
+#: line or where a known text begins; "copyright holders", "owner" or "notice" is text.
+#: Text is marked first, so that no pattern looks ahead and any engine can run them.
+CLEANING = [
+    (rf"copyright({_GAP}(?:holder|owner|notice|law|license|licence|(?:and|or|in|to)\b))", "copyright0text{1}"),
+    (r"(permission is hereby|permission to use|redistribution and use)", "\x1e{1}"),
+    (r"(?m)^[ \t*#/;-]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n\x1e]*", ""),
+    (r"copyright0text", "copyright"),
+]
 
 
 def canonical_lines(text: Column) -> Column:
     """Canonical form of every line of a text; lines without content are ''."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(out, _STATEMENT, "")
+    for pattern, new in CLEANING:
+        out = F.regexp_replace(out, pattern.replace("(?m)", "(?md)"), new.replace("{1}", "$1"))
     for seen, kept in SPELLINGS:
         out = F.replace(out, F.lit(seen), F.lit(kept))
     out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
@@ -159,12 +164,16 @@ def known_digests(texts: DataFrame) -> DataFrame:
     )
 
 
-def builtin_texts(spark: SparkSession) -> DataFrame:
+def builtin_rows() -> list[tuple[str, str]]:
     """The notices and texts above, the texts also with their title: a few hundred rows."""
     notices = [(k, n.format(name)) for k, names in NAMES for name in [k, *names] for n in NOTICES]
     names = dict(NAMES)
     titled = [(k, f"{the}{name}\n\n{t}") for k, t in TEXTS for name in [k, *names[k]] for the in ("", "The ")]
-    return spark.createDataFrame([*notices, *TEXTS, *titled], _SCHEMA)
+    return [*notices, *TEXTS, *titled]
+
+
+def builtin_texts(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(builtin_rows(), _SCHEMA)
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:

@@ -38,26 +38,35 @@ SELECT pair_id, part, turn, role, '<|' || role || '|>' || chr(10) || text || chr
 
 def _canonical(text: str) -> str:
     out = f"lower(coalesce({text}, ''))"
-    out = f"regexp_replace({out}, '(?m)^[ \\t*#/;-]*(?:copyright\\b|\\(c\\)|©|all rights reserved)[^\\n]*', '', 'g')"
+    for pattern, new in licenses.CLEANING:
+        replaced = new.replace("{1}", "\\1")
+        out = f"regexp_replace({out}, {_q(pattern)}, {_q(replaced)}, 'g')"
     for seen, kept in licenses.SPELLINGS:
         out = f"replace({out}, {_q(seen)}, {_q(kept)})"
     out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
     return f"list_transform(string_split({out}, chr(10)), lambda x: trim(x))"
 
 
+def _whole(lines: str) -> str:
+    out = f"array_to_string(list_filter({lines}, lambda x: x <> ''), ' ')"
+    for seen, kept in licenses.SPELLINGS:
+        if " " in seen:
+            out = f"replace({out}, {_q(seen)}, {_q(kept)})"
+    return out
+
+
 def _known() -> str:
-    notices = [(k, n.format(name)) for k, names in licenses.NAMES for name in [k, *names] for n in licenses.NOTICES]
-    return ", ".join(f"({_q(k)}, {_q(t)})" for k, t in [*notices, *licenses.TEXTS])
+    return ", ".join(f"({_q(k)}, {_q(t)})" for k, t in licenses.builtin_rows())
 
 
 SQL["op9_license_scan"] = f"""
 WITH known AS (
   SELECT sha256(t) AS digest, min(license) AS license FROM (
-    SELECT license, array_to_string(list_filter({_canonical('text')}, lambda x: x <> ''), ' ') AS t FROM (VALUES {_known()}) v(license, text))
+    SELECT license, {_whole(_canonical('text'))} AS t FROM (VALUES {_known()}) v(license, text))
   WHERE t <> '' GROUP BY 1),
 d AS (SELECT doc_id, {_canonical('text')} AS lines FROM documents),
 u AS (
-  SELECT doc_id, -1 AS line, array_to_string(list_filter(lines, lambda x: x <> ''), ' ') AS t FROM d
+  SELECT doc_id, -1 AS line, {_whole('lines')} AS t FROM d
   UNION ALL
   SELECT doc_id, i - 1, lines[i] FROM (
     SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d WHERE len(list_filter(lines, lambda x: x <> '')) > 1))
