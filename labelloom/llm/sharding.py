@@ -24,6 +24,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelloom.llm.common import numbered
+from labelloom.plans.joins import lookup_join
 from labelloom.plans.scratch import materialize
 
 SHARDS = 24
@@ -72,7 +73,7 @@ def propagate(members: DataFrame, capacity: int, shards: int = SHARDS) -> DataFr
         drawn = F.when(F.col("size") * 8 <= capacity, _share("grp", F.lit(turn))).otherwise(_share("rid", F.lit(turn)))
         goes = F.col("to").isNotNull() & (drawn < _by_shard(quota, F.col("to")))
         members = materialize(
-            members.join(wishes.drop("n"), ["grp", "shard"], "left").select(
+            lookup_join(members, wishes.drop("n"), ["grp", "shard"], spread="rid", how="left").select(
                 "rid", "grp", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard")
             ),
             "members",
@@ -95,8 +96,10 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     total = rows.count()
     first = F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int")
-    groups = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("grp")
-    linked = materialize(rows.select("rid", "grp").join(groups, "grp").withColumn("shard", first), "members")
+    groups = materialize(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("grp"), "groups")
+    # a group of any size is spread over tasks
+    linked = lookup_join(rows.select("rid", "grp"), groups, ["grp"], spread="rid")
+    linked = materialize(linked.withColumn("shard", first), "members")
     moved = propagate(linked, total // shards, shards).select("rid", F.col("shard").alias("moved"))
     placed = materialize(
         rows.drop("grp").join(moved, "rid", "left").select(
