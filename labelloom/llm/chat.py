@@ -16,6 +16,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from labelloom.plans.joins import lookup_join
+from labelloom.plans.scratch import materialize
+
 PROMPT, CHOSEN, REJECTED = "prompt", "chosen", "rejected"
 
 
@@ -48,7 +51,7 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     both = chosen.select("pair_id", "turn", F.struct("role", "text").alias("c"), F.lit(None).alias("r")).unionByName(
         rejected.select("pair_id", "turn", F.lit(None).alias("c"), F.struct("role", "text").alias("r"))
     )
-    aligned = both.groupBy("pair_id", "turn").agg(F.min("c").alias("c"), F.min("r").alias("r"))
+    aligned = materialize(both.groupBy("pair_id", "turn").agg(F.min("c").alias("c"), F.min("r").alias("r")), "aligned_turns")
     split = (
         aligned.where(~F.col("c").eqNullSafe(F.col("r")))
         .groupBy("pair_id")
@@ -63,7 +66,7 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
             F.struct(F.lit(REJECTED).alias("part"), F.col("r").alias("m")),
         )
     )
-    rows = aligned.join(split, "pair_id", "left").select("pair_id", "turn", F.inline(sides)).where("m IS NOT NULL")
+    rows = lookup_join(aligned, materialize(split, "first_differences"), ["pair_id"], spread="turn", how="left").select("pair_id", "turn", F.inline(sides)).where("m IS NOT NULL")
     return rows.select(
         "pair_id",
         "part",
@@ -83,17 +86,24 @@ def shared_start_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     itself with its last assistant reply cut to the first half; without an
     assistant turn it makes no pair.  ``pair_id`` is the rejected conv_id.
     """
-    talk = turns(conversations)
-    marks = talk.groupBy("conv_id").agg(
-        F.min(F.struct("turn", F.sha2(F.concat_ws("\n", "role", "text"), 256).alias("key")))["key"].alias("key"),
-        F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("reply"),
+    talk = materialize(turns(conversations), "turns")
+    marks = materialize(
+        talk.groupBy("conv_id").agg(
+            F.min(F.struct("turn", F.sha2(F.concat_ws("\n", "role", "text"), 256).alias("key")))["key"].alias("key"),
+            F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("reply"),
+        ),
+        "first_turns",
     )
-    starts = marks.groupBy("key").agg(F.min("conv_id").alias("best"), F.count(F.lit(1)).alias("n"))
-    pairs = marks.join(starts, "key").where(
+    starts = materialize(marks.groupBy("key").agg(F.min("conv_id").alias("best"), F.count(F.lit(1)).alias("n")), "starts")
+    # a first turn that many conversations share, and one chosen against many, are spread over tasks
+    pairs = lookup_join(marks, starts, ["key"], spread="conv_id").where(
         ((F.col("n") > 1) & (F.col("conv_id") != F.col("best"))) | ((F.col("n") == 1) & F.col("reply").isNotNull())
-    ).select(F.col("conv_id").alias("pair_id"), "best", "reply", (F.col("n") == 1).alias("alone"))
-    chosen = talk.join(pairs.select("pair_id", F.col("best").alias("conv_id")), "conv_id")
-    other = talk.join(pairs.withColumn("conv_id", F.col("pair_id")), "conv_id")
+    )
+    pairs = materialize(
+        pairs.select(F.col("conv_id").alias("pair_id"), "best", "reply", (F.col("n") == 1).alias("alone")), "pairs"
+    )
+    chosen = lookup_join(pairs.select("pair_id", F.col("best").alias("conv_id")), talk, ["conv_id"], spread="pair_id")
+    other = lookup_join(talk, pairs.withColumn("conv_id", F.col("pair_id")), ["conv_id"], spread="turn")
     cut = F.when(
         F.col("alone") & (F.col("turn") == F.col("reply")),
         F.substring(F.col("text"), F.lit(1), (F.length("text") / 2).cast("int")),
