@@ -6,6 +6,8 @@ item's words of it in edit distance (words in lower case, ASCII marks dropped).
 * Windows of the item's size are proposed where document and item share a word
   q-gram on one diagonal.  With at most k edits on n words some run of
   (n - k) / (k + 1) words is unchanged, so q is chosen to lose no passage.
+* Items of more than 2 * PIECE words are searched by parts of about PIECE words, one
+  of which has no more than its share of the edits, and verified whole.
 * The CGK embedding reads a window by a random walk: step j emits the word at the
   pointer, and a hash of (j, word) decides whether the pointer advances.  Windows
   of small edit distance emit streams of small Hamming distance.  REPEATS walks
@@ -16,7 +18,9 @@ item's words of it in edit distance (words in lower case, ASCII marks dropped).
   passage around the window.
 
 The items are handled in blocks of bounded size, each one scan of the documents
-without a shuffle; the copies of an item count once until the very end.
+without a shuffle; the copies of an item count once until the very end.  Windows
+and items are walked in groups of about one length and a bounded number of steps,
+so a very long item takes memory for itself only.
 
 Nulls and edges: null or empty texts and items match nothing, and items below
 MIN_WORDS words are not searched, since so few words prove no leak.  Repeated
@@ -41,7 +45,9 @@ TABLES = 4
 SAMPLES = 3
 BLOCK_BYTES = 8 << 20
 _FLUSH = 400_000
-_WINDOWS = 20_000
+_STEPS = 2_400_000
+#: Words of a part of a long item: walks over more drift apart with every edit.
+PIECE = 64
 _TO_WORDS = bytes.maketrans(
     (string.ascii_uppercase + string.punctuation).encode(),
     (string.ascii_lowercase + " " * len(string.punctuation)).encode(),
@@ -70,6 +76,40 @@ def distance(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def _pieces(n: int):
+    """Parts of an item that are searched as windows.  An item of more than two
+    PIECEs is cut evenly: edits within its share are within that of some part."""
+    parts = n // PIECE if n > 2 * PIECE else 1
+    return [(j * n // parts, (j + 1) * n // parts) for j in range(parts)]
+
+
+def _close(met: list[tuple[int, int, int]], reach):
+    """(document, item, first start, last start) of proposals of one item in one
+    document that lie within its edits of each other; they are verified together."""
+    group = None
+    for doc, i, start in sorted(met):
+        if group and group[:2] == (doc, i) and start - group[3] <= reach(i):
+            group = (*group[:3], start)
+        else:
+            if group:
+                yield group
+            group = (doc, i, start, start)
+    if group:
+        yield group
+
+
+def _alike(lengths: np.ndarray):
+    """Row numbers of windows of about one length, as many as _STEPS emissions
+    allow, and the width that holds them; one long window widens no short one."""
+    level = np.ceil(np.log2(np.maximum(lengths, 1))).astype("int64")
+    for one in np.unique(level):
+        rows = np.nonzero(level == one)[0]
+        width = int(lengths[rows].max())
+        step = max(1, _STEPS // (2 * width))
+        for at in range(0, len(rows), step):
+            yield rows[at : at + step], width
+
+
 class Block:
     """Items of one block: vocabulary, seeds and tables."""
 
@@ -83,9 +123,12 @@ class Block:
                 self.keys.append(key)
         self.share = share
         self.base = len(self.vocabulary) + 1
-        self.longest = max(map(len, self.items), default=0)
+        cuts = [(i, a, b) for i, item in enumerate(self.items) for a, b in _pieces(len(item))]
+        self.pieces = [self.items[i][a:b] for i, a, b in cuts]
+        self.origin = [(i, a) for i, a, _ in cuts]
+        self.longest = max(map(len, self.pieces), default=0)
         seeds = defaultdict(set)
-        for i, item in enumerate(self.items):
+        for i, item in enumerate(self.pieces):
             k = allowed(len(item), share)
             q = min(GRAM, (len(item) - k) // (k + 1))
             for at in range(len(item) - q + 1):
@@ -95,13 +138,14 @@ class Block:
         self.walk = draw.integers(1, 1 << 63, (REPEATS, 2 * self.longest + 1), "uint64") | np.uint64(1)
         self.sample = draw.random((REPEATS, TABLES, SAMPLES))
         self.tables = [defaultdict(list) for _ in range(REPEATS * TABLES)]
-        lengths = np.array([len(x) for x in self.items], "int64")
-        padded = np.zeros((len(self.items), self.longest), "int64")
-        for i, item in enumerate(self.items):
-            padded[i, : len(item)] = item
-        for t, keys in enumerate(self._signatures(padded, lengths)):
-            for i, key in enumerate(keys.tolist()):
-                self.tables[t][key].append(i)
+        lengths = np.array([len(x) for x in self.pieces], "int64")
+        for mine, width in _alike(lengths):
+            padded = np.zeros((len(mine), width), "int64")
+            for row, i in enumerate(mine):
+                padded[row, : lengths[i]] = self.pieces[i]
+            for t, keys in enumerate(self._signatures(padded, lengths[mine])):
+                for i, key in zip(mine.tolist(), keys.tolist()):
+                    self.tables[t][key].append(i)
         self.sorted = [np.array(sorted(t), "uint64") for t in self.tables]
 
     def _gram(self, words) -> int:
@@ -113,20 +157,20 @@ class Block:
     def _signatures(self, windows: np.ndarray, lengths: np.ndarray):
         """One array of keys per table: the sampled emissions of each walk.
 
-        Words past the window's length count as 0; samples are taken from the
-        2n steps in which a walk reads about n words."""
-        rows = np.arange(len(windows))
+        Words past the window's length count as 0, however wide the rows are;
+        samples are taken from the 2n steps in which a walk reads about n words."""
+        rows, width = np.arange(len(windows)), windows.shape[1]
         inside = np.arange(windows.shape[1]) < lengths[:, None]
-        symbols = np.where(inside, windows, 0).astype("uint64") * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
-        symbols = np.hstack([symbols, np.zeros((len(windows), 1), "uint64")])
+        symbols = np.hstack([np.where(inside, windows, 0), np.zeros((len(windows), 1), "int64")]).astype("uint64")
+        symbols = symbols * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
         symbols ^= symbols >> np.uint64(29)
         for r in range(REPEATS):
             at = np.zeros(len(windows), "int64")
-            emitted = np.empty((2 * self.longest, len(windows)), "uint64")
-            for j in range(2 * self.longest):
+            emitted = np.empty((2 * width, len(windows)), "uint64")
+            for j in range(2 * width):
                 emitted[j] = symbols[rows, at]
                 at += ((emitted[j] * self.walk[r, j]) >> np.uint64(63)).astype("int64")
-                np.minimum(at, windows.shape[1], out=at)
+                np.minimum(at, width, out=at)
             for t in range(TABLES):
                 key = lengths.astype("uint64")
                 for u in self.sample[r, t]:
@@ -135,10 +179,10 @@ class Block:
                 yield key
 
     def proposed(self, ids: np.ndarray) -> set[tuple[int, int]]:
-        """(start, item) pairs that collide in a table; ``ids`` are word numbers
+        """(start, piece) pairs that collide in a table; ``ids`` are word numbers
         of documents with gaps of zeros."""
         starts, sizes = [], []
-        lengths = np.array([len(x) for x in self.items], "int64")
+        lengths = np.array([len(x) for x in self.pieces], "int64")
         for q, seeds in self.seeds.items():
             grams = ids[: len(ids) - q + 1].copy()
             known = grams > 0
@@ -158,9 +202,9 @@ class Block:
         windows = np.unique(np.stack([np.concatenate(starts), np.concatenate(sizes)], 1), axis=0)
         found: set[tuple[int, int]] = set()
         padded = np.concatenate([np.zeros(self.longest, "int64"), ids, np.zeros(self.longest, "int64")])
-        for at in range(0, len(windows), _WINDOWS):
-            start, size = windows[at : at + _WINDOWS].T
-            words = padded[start[:, None] + self.longest + np.arange(self.longest)]
+        for mine, width in _alike(windows[:, 1]):
+            start, size = windows[mine].T
+            words = padded[start[:, None] + self.longest + np.arange(width)]
             for t, keys in enumerate(self._signatures(words, size)):
                 spot = np.minimum(np.searchsorted(self.sorted[t], keys), len(self.sorted[t]) - 1)
                 for w in np.nonzero(self.sorted[t][spot] == keys)[0]:
@@ -176,12 +220,18 @@ class Block:
         def flush(first: int, parts: list[np.ndarray]) -> None:
             begins = np.cumsum([0, *[len(p) + gap for p in parts]])
             ids = np.concatenate([x for p in parts for x in (p, np.zeros(gap, "int64"))])
-            for start, i in sorted(self.proposed(ids)):
+            met = []
+            for start, piece in self.proposed(ids):
+                i, offset = self.origin[piece]
+                middle = start + len(self.pieces[piece]) // 2
+                met.append((max(int(np.searchsorted(begins, middle, "right")) - 1, 0), i, start - offset))
+            for doc, i, start, last in _close(met, lambda i: allowed(len(self.items[i]), self.share)):
                 n, k = len(self.items[i]), allowed(len(self.items[i]), self.share)
-                doc = int(np.searchsorted(begins, start + n // 2, "right")) - 1
                 low = max(int(begins[doc]), start - k)
-                high = min(int(begins[doc + 1]) - gap, start + n + k)
-                edits, end = distance(self.items[i], ids[low:high]) if high > low else (n, 0)
+                high = min(int(begins[doc + 1]) - gap, last + n + k)
+                if high - low < n - k:
+                    continue  # too short for the item
+                edits, end = distance(self.items[i], ids[low:high])
                 if edits <= k:
                     where = (first + doc, self.keys[i])
                     best[where] = min(best.get(where, (n, 0)), (edits, low + end - int(begins[doc])))
@@ -191,7 +241,7 @@ class Block:
             for row, text in enumerate(texts):
                 words = word_list(text)
                 parts.append(np.fromiter(map(number, words, repeat(0)), "int64", len(words)))
-                size += len(words)
+                size += len(words) + gap
                 if size > _FLUSH or row == len(texts) - 1:
                     flush(first, parts)
                     first, parts, size = row + 1, [], 0

@@ -178,3 +178,30 @@ def test_decontamination_edges(spark):
 def test_distance_to_a_part():
     assert decontamination.distance(np.array([1, 2, 3, 4]), np.array([9, 1, 2, 4, 9])) == (1, 4)
     assert decontamination.distance(np.array([1, 2]), np.array([], "int64")) == (2, 0)
+
+
+def test_one_very_long_item_among_many_short_ones():
+    import tracemalloc
+
+    rng = random.Random(8)
+    pool = [f"w{i}" for i in range(3000)]
+    short = [" ".join(rng.choices(pool, k=rng.randint(5, 12))) for _ in range(10_000)]
+    long = " ".join(rng.choices(pool, k=20_000))
+    tracemalloc.start()
+    block = decontamination.Block([*short, long])
+    middle = long.split()
+    for at in rng.sample(range(20_000), 300):
+        middle[at] = "other"
+    texts = [f"before {short[17]} after", " ".join(["x"] * 50 + middle + ["y"] * 50), " ".join(rng.choices(pool, k=500)), None]
+    found = {(row, key) for row, key, _, _ in block.leaks(texts)}
+    assert tracemalloc.get_traced_memory()[1] < 600 << 20
+    tracemalloc.stop()
+    assert {(0, 17), (1, 10_000)} <= found and not {r for r, _ in found} & {3}
+
+
+def test_windows_sign_alike_in_rows_of_any_width():
+    block = decontamination.Block(["a b c d e f g", " ".join(f"w{i}" for i in range(40))])
+    item = block.items[0][None, :]
+    wide = np.concatenate([item, np.full((1, 30), 9)], axis=1)
+    lengths = np.array([7])
+    assert [k.tolist() for k in block._signatures(item, lengths)] == [k.tolist() for k in block._signatures(wide, lengths)]
