@@ -234,3 +234,29 @@ def test_near_copy_edges(spark):
     ids = [r["doc_id"] for r in out.select("doc_id").collect()]
     assert sorted(map(str, ids)) == sorted(map(str, [1, 3, 6, 7, 8, 9, None, 11, 12, 13]))
     assert copies.drop_near_copies(no_docs(spark)).count() == 0
+
+
+def test_large_groups_of_lines_under_shared_keys(spark):
+    """Families of near lines and unrelated lines that share runs of words."""
+    rng = random.Random(12)
+    pool = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(4000)]
+    starts = [rng.choices(pool, k=20) for _ in range(3)]
+    starts[1][5:10] = starts[0][5:10]  # two families with a common run
+    found = []
+    for family in starts:
+        for _ in range(90):
+            words = list(family)
+            for at in rng.sample(range(20), rng.randint(0, 3)):
+                words[at] = rng.choice(pool)
+            found.append(words)
+    found += [[*rng.choices(pool, k=9), *starts[0][5:10], *rng.choices(pool, k=9)] for _ in range(100)]
+    found = sorted({tuple(w) for w in found})
+    texts = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(found)], "doc_id long, text string")
+    got = lines.lines(texts).select("doc_id", "digest", "words")
+    number = {bytes(r["digest"]): r["doc_id"] for r in got.collect()}
+    coded = [np.frombuffer(r["words"], "<u4") for r in got.orderBy("doc_id").collect()]
+    want = union_find([(i, j) for i in range(len(coded)) for j in range(i) if lines.similar(coded[i], coded[j])], len(coded))
+    links = [(number[bytes(r["a"])], number[bytes(r["b"])]) for r in lines.near_links(got.select("digest", "words")).collect()]
+    assert union_find(links, len(coded)) == want
+    assert all(lines.similar(coded[a], coded[b]) for a, b in links)
+    assert len(links) < 9 * len(coded)  # a forest under most keys, not all pairs
