@@ -88,3 +88,12 @@ def test_lemmatize(spark):
     lemmas = spark.createDataFrame([("dogs", "dog"), ("cats", "cat")], "surface string, lemma string")
     got = {r["id"]: (r["a"], r["b"]) for r in features.lemmatize(df, "id", ["a", "b"], lemmas).collect()}
     assert got == {1: ("dog and cat", "dog"), 2: ("", "")}
+
+
+def test_lowered_text_has_the_same_long_forms(spark):
+    texts = ["P&C, pi_x Pi wc. WC$ gl", "cyber\\1 Cyber CYBER cyberx xcyber 9pi pi9 d&o a&h&d&o", "pı PI İ pİ ul", "ſ&c PI", None, "", "b2B.b2c_ b2c"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for terms in (None, {"Wc": "P&C of $1\\x", "p&c": "wc", "x": ""}, {}, {"ſ": "s", "pi": "ul"}):
+        plain, fast = F.lower(T.normalize_terms(F.col("text"), terms)), T.lower_normalized(F.col("text"), terms)
+        for r in df.select(plain.alias("a"), fast.alias("b")).collect():
+            assert r["a"] == r["b"]
