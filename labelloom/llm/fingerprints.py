@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelloom.plans.joins import fits_broadcast
-from labelloom.plans.scratch import materialize, shuffle_width
+from labelloom.plans.scratch import input_bytes, materialize, shuffle_width, width_for
 
 RADIUS = 3
 BLOCKS = 6
@@ -237,7 +237,7 @@ def near_rows(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
     distinct = materialize(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "distinct_prints")
     paths, out = [(m,) for m in tables(0, radius)], []
     # every row becomes one per table, so few bytes are still much work
-    wide = distinct.repartition(shuffle_width(distinct, WIDE_BYTES))
+    wide = distinct.repartition(width_for(input_bytes(distinct), shuffle_width(distinct), WIDE_BYTES))
     rows = wide.select("fp", "n", F.inline(F.array(*map(_named, paths))))
     member = F.struct("fp", "n")
 
