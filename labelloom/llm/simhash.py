@@ -164,7 +164,8 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
             lists = batch.column(0)
             values, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
             for one in np.split(values, ends[:-1]):
-                found += forest(one, radius)
+                # in one order under every mask, so that masks repeat links
+                found += forest(np.sort(one), radius)
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 

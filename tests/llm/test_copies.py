@@ -260,3 +260,24 @@ def test_large_groups_of_lines_under_shared_keys(spark):
     assert union_find(links, len(coded)) == want
     assert all(lines.similar(coded[a], coded[b]) for a, b in links)
     assert len(links) < 9 * len(coded)  # a forest under most keys, not all pairs
+
+
+def test_simhash_alone_finds_near_copies(spark, monkeypatch):
+    rng = random.Random(21)
+    texts = []
+    for i in range(12):
+        words = [named(rng.randrange(5000)) for _ in range(600)]
+        texts += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(words[:-1]))]
+    prints = {d: simhash.fingerprint(simhash.shingle_hashes(t, copies.SHINGLE)) for d, t in texts}
+    near = {d for d in prints if d % 10 and ((prints[d] ^ prints[d - 1]) % 2**64).bit_count() <= simhash.RADIUS}
+    assert len(near) > 6
+    # no two texts share a MinHash key
+    rows = [(bytes([i]), prints[d]) for i, (d, _) in enumerate(texts)]
+    keys = copies.near_print_keys(spark.createDataFrame(rows, "digest binary, print long")).collect()
+    shared = {k: sorted(r["digest"][0] for r in keys if r["fp"] == k) for k in {r["fp"] for r in keys}}
+    assert {tuple(v) for v in shared.values()} >= {(i - 1, i) for i, (d, _) in enumerate(texts) if d in near}
+    stamped = copies._stamped
+    unique = F.array(F.xxhash64("rid", F.lit("no other row has this key")))
+    monkeypatch.setattr(copies, "_stamped", lambda docs: stamped(docs).withColumn("fps", unique))
+    kept = copies.drop_near_copies(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in texts} - near
