@@ -1,6 +1,7 @@
 """SimHash, fuzzy lines, near copies and components against brute force."""
 
 import random
+import time
 
 import numpy as np
 import xxhash
@@ -182,6 +183,45 @@ def test_similar_is_edit_similarity():
     assert not lines.similar(a, np.delete(a, range(5)))
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_edits_are_counted_on_bits():
+    rng = random.Random(6)
+    for n in [0, 1, 2, 7, 20, 63, 64, 65, 130]:
+        for _ in range(20):
+            pool = rng.choice([2, 6, 1 << 31])
+            a = [rng.randrange(pool) for _ in range(n)]
+            b = [w for w in a if rng.random() > 0.1]
+            for _ in range(rng.randrange(3)):
+                b.insert(rng.randrange(len(b) + 1), rng.randrange(pool))
+            far = edits(a, b)
+            assert lines.within(lines.places(a), n, b, far)
+            assert not lines.within(lines.places(a), n, b, far - 1)
+
+
+def test_long_lines_of_the_same_words_are_compared_fast():
+    rng = random.Random(7)
+    parts = [[rng.randrange(1 << 31) for _ in range(26)] for _ in range(5)]
+    content = [np.array(sum(rng.sample(parts, 5), []), "<u4") for _ in range(160)]
+    begun = time.process_time()
+    links = list(lines.line_forest(content, 0.8))
+    spent = time.process_time() - begun
+    begun = time.process_time()
+    for i in range(160):  # the measure: 160 pairs by a plain table
+        edits(content[0].tolist(), content[i].tolist())
+    assert spent < 6 * (time.process_time() - begun)
+    roots = union_find(links, len(content))
+    orders = {tuple(c.tolist()) for c in content}
+    assert len(set(roots)) == len(orders)
+
+
 def test_a_failed_link_does_not_hide_others():
     # all fingerprints are near, but only two contents are alike
     fps = np.array([0, 1, 2, 3])
