@@ -64,6 +64,31 @@ def test_held_out_texts_gain_from_bigrams_and_blocks_agree(spark, monkeypatch):
     assert {r["doc_id"]: r["score"] for r in lm.score(docs).collect()} == pytest.approx(one, rel=1e-9)
 
 
+def test_bigrams_of_rare_words_are_in_the_model(spark):
+    """Pairs of words that are far below 1/CLASSES of the tokens, always met
+    together, score higher than the same words met in another order."""
+    rng = random.Random(3)
+    fill = [f"f{i}" for i in range(9000)]
+    pairs = [(f"a{i}", f"b{i}") for i in range(600)]
+    texts = []
+    for i in range(600):
+        words = rng.choices(fill, k=60)
+        for p in rng.sample(pairs, 6):
+            at = rng.randrange(len(words))
+            words[at:at] = p
+        texts.append((i, " ".join(words)))
+    free = [i for i in range(600, 2000) if held(i)]
+    met = " ".join(f"{a} {b}" for a, b in pairs)
+    other = " ".join(f"{a} {pairs[i - 1][1]}" for i, (a, _) in enumerate(pairs))
+    texts += [(free[0], met), (free[1], other)]
+    rows = lm.score(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    check_base(rows, texts)
+    got = {r["doc_id"]: r["score"] for r in rows}
+    assert got[free[0]] > got[free[1]] + 40
+    n = Counter(w for i, t in texts if not held(i) for w in tokens(t))
+    assert all(n[w] * lm.CLASSES < sum(n.values()) for w in n if w != b"\n")
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.dictionaries(st.integers(0, 2**64 - 1), st.integers(1, 10**6), min_size=1, max_size=200))
 def test_filter_never_underestimates(counts):
