@@ -89,6 +89,36 @@ def test_bigrams_of_rare_words_are_in_the_model(spark):
     assert all(n[w] * lm.CLASSES < sum(n.values()) for w in n if w != b"\n")
 
 
+def test_weights_are_fitted_on_the_tokens_of_all_parts(spark, monkeypatch):
+    """However many parts the tokens are dealt into, all training tokens fit the
+    weights: only those between words with classes of their own need no fit."""
+    rng = random.Random(5)
+    often, rare = [f"o{i}" for i in range(20)], [f"r{i}" for i in range(3000)]
+    texts = [(i, " ".join(rng.choices(often, k=60) + rng.choices(rare, k=120))) for i in range(60)]
+    texts += [(None, "o1 " * 400 + "r1 " * 400), (71, None), (72, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    seen = spark.sparkContext.accumulator(0)
+    gains = lm._gains
+
+    def counted(model, pairs, table):
+        seen.add(int(lm.Part(model, pairs, table.filter(table["before"].is_valid())).training.sum()))
+        return gains(model, pairs, table)
+
+    monkeypatch.setattr(lm, "_gains", counted)
+    whole = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.score(docs).collect()}
+    n = Counter(w for i, t in texts if not held(i) for w in tokens(t))
+    own = {w for w in n if n[w] * lm.CLASSES > sum(n.values())}
+    pairs = [p for i, t in texts if not held(i) for p in zip([b"\n", *tokens(t)], tokens(t))]
+    wanted = sum(not (a in own and b in own) for a, b in pairs)
+    assert seen.value == wanted
+    seen.value = 0
+    monkeypatch.setattr(lm, "PART_TOKENS", 300)
+    rows = lm.score(docs).collect()
+    check_base(rows, texts)
+    assert seen.value == wanted
+    assert {(r["doc_id"], r["n_tokens"]): r["score"] for r in rows} == pytest.approx(whole, rel=0.02)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.dictionaries(st.integers(0, 2**64 - 1), st.integers(1, 10**6), min_size=1, max_size=200))
 def test_filter_never_underestimates(counts):
