@@ -18,17 +18,28 @@ from __future__ import annotations
 
 import math
 import operator
+import re
 import string
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from labelloom.llm.common import SPACES, count_chars, let, words
+from labelloom.llm.common import count_chars, let, words
 from labelloom.plans.joins import fits_broadcast
 from labelloom.plans.scratch import materialize
 
 SYMBOLS = "#*$%&|<>"
+#: Kinds of characters that are counted, all ASCII.
+COUNTED = {
+    "symbols": SYMBOLS,
+    "capitals": string.ascii_uppercase,
+    "digits": string.digits,
+    "marks": ".,;:!?",
+    "shouts": "!",
+}
+_NOT_COUNTED = "[^" + re.escape("".join(dict.fromkeys("".join(COUNTED.values())))) + "]++"
+_WORD_CHAR = r"[^\x20\x09-\x0D]"
 WINDOW = 5
 #: Ids of labelled documents that may be broadcast (16 MB as numbers).
 LABELLED = 2_000_000
@@ -68,14 +79,18 @@ def _repeated_words(w: Column) -> Column:
             lambda a, x: a + x,
         )
 
+    def repeated(keys: Column) -> Column:
+        placed = F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i")))
+        # most texts hold no window twice and need no sort
+        once = F.size(F.array_distinct(keys)) == F.size(keys)
+        return F.when(once, 0).otherwise(let(let(F.sort_array(placed), positions), covered))
+
     def windows(h: Column) -> Column:
         keys = F.transform(
             F.sequence(F.lit(0), F.size(h) - WINDOW),
-            lambda i: F.struct(
-                F.xxhash64(*[F.get(h, i + j) for j in range(WINDOW)]).alias("k"), i.alias("i")
-            ),
+            lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(WINDOW)]),
         )
-        return let(let(F.sort_array(keys), positions), covered)
+        return let(keys, repeated)
 
     return F.when(F.size(w) > WINDOW, let(F.transform(w, lambda x: F.xxhash64(x)), windows)).otherwise(0)
 
@@ -91,29 +106,35 @@ def statistics(text: Column) -> Column:
 
     def of_words(w: Column) -> Column:
         return F.struct(
-            F.size(w).alias("words"), F.size(F.array_distinct(w)).alias("distinct"), _repeated_words(w).alias("repeat")
+            F.size(w).alias("words"),
+            F.size(F.array_distinct(w)).alias("distinct"),
+            _repeated_words(w).alias("repeat"),
+            F.length(F.array_join(w, "")).alias("chars"),
         )
 
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    chars = F.length(F.translate(text, SPACES, ""))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(_WORD_CHAR))
+
+    def of_marks(marks: Column) -> Column:
+        return F.struct(*[count_chars(marks, chars).alias(name) for name, chars in COUNTED.items()])
 
     def build(x: Column) -> Column:
         n = x["w"]["words"]
         per_word = lambda c: c / F.greatest(n, F.lit(1))
-        per_char = lambda c: c / F.greatest(x["chars"], F.lit(1))
+        chars = x["w"]["chars"]
+        per_char = lambda c: c / F.greatest(chars, F.lit(1))
         return F.struct(
             n.cast("long").alias("n_words"),
-            x["chars"].cast("long").alias("word_chars"),
-            x["symbols"].cast("long").alias("n_symbols"),
+            chars.cast("long").alias("word_chars"),
+            x["m"]["symbols"].cast("long").alias("n_symbols"),
             x["l"]["dup"].cast("long").alias("n_dup_lines"),
             x["w"]["repeat"].cast("long").alias("n_repeat_words"),
             n.cast("double").alias("words_total"),
-            per_word(x["chars"]).alias("word_length"),
-            per_word(x["symbols"]).alias("symbols_per_word"),
-            per_char(x["capitals"]).alias("capitals"),
-            per_char(x["digits"]).alias("digits"),
-            per_char(x["marks"]).alias("punctuation"),
-            per_word(x["shouts"]).alias("exclamations"),
+            per_word(chars).alias("word_length"),
+            per_word(x["m"]["symbols"]).alias("symbols_per_word"),
+            per_char(x["m"]["capitals"]).alias("capitals"),
+            per_char(x["m"]["digits"]).alias("digits"),
+            per_char(x["m"]["marks"]).alias("punctuation"),
+            per_word(x["m"]["shouts"]).alias("exclamations"),
             (x["l"]["dup"] / F.greatest(x["l"]["lines"], F.lit(1))).alias("duplicate_lines"),
             per_word(x["w"]["repeat"]).alias("repeated_words"),
             per_word(x["w"]["distinct"]).alias("distinct_words"),
@@ -124,12 +145,8 @@ def statistics(text: Column) -> Column:
         F.struct(
             let(words(text), of_words).alias("w"),
             let(lines, of_lines).alias("l"),
-            chars.alias("chars"),
-            count_chars(text, SYMBOLS).alias("symbols"),
-            count_chars(text, string.ascii_uppercase).alias("capitals"),
-            count_chars(text, string.digits).alias("digits"),
-            count_chars(text, ".,;:!?").alias("marks"),
-            count_chars(text, "!").alias("shouts"),
+            # the few characters that are counted; a translation looks up every one
+            let(F.regexp_replace(text, _NOT_COUNTED, ""), of_marks).alias("m"),
         ),
         build,
     )
@@ -265,14 +282,16 @@ def _best(seen, names, min_cover: int) -> Condition | None:
     return best
 
 
-def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, s and quality of the labelled documents.
+def with_labels(docs: DataFrame, labels: DataFrame, measured: Column | None = None) -> DataFrame:
+    """doc_id, s and quality of the labelled documents; ``measured`` is the column with
+    the statistics if ``docs`` has them already.
 
     While the labelled ids can be broadcast, only their texts are measured; beyond
     that the statistics of all are made before the join, so that small rows are
     shuffled and not the texts."""
+    s = statistics(F.col("text")) if measured is None else measured
     marks = labels.select("doc_id", "quality").where("quality IS NOT NULL AND doc_id IS NOT NULL")
     ids = marks.select("doc_id").distinct()
     if fits_broadcast(ids, rows=LABELLED):
         docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    return docs.select("doc_id", statistics(F.col("text")).alias("s")).join(marks, "doc_id").select("doc_id", "quality", "s")
+    return docs.select("doc_id", s.alias("s")).join(marks, "doc_id").select("doc_id", "quality", "s")

@@ -1,6 +1,7 @@
 """PII, quality rules, chat formatting, licences and sharding."""
 
 import re
+import string
 import textwrap
 from collections import Counter
 
@@ -101,6 +102,27 @@ def test_quality_rules_are_learned(spark):
     assert str(rules).endswith("otherwise keep") and len(rules.rules) == 2
 
 
+def test_statistics_of_marks_blanks_and_repeated_windows(spark):
+    texts = ["A&&b \\ [x] ^-] #1|2 <T> Ä! \U0001f600\x85\xa0z", "\x0b \n \x0c\nx\n\x85\n", "a b c d e f", "a b c d e " * 3, "q a a a a a a a", None, ""]
+
+    def brute(text):
+        lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\f\r")]
+        w = [x for x in re.split(r"[\x20\x09-\x0d]+", text or "") if x]
+        n = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 5 else {}
+        covered = {i + j for i in range(len(w) - 4) for j in range(5) if n and n[tuple(w[i : i + 5])] > 1}
+        chars = "".join(w)
+        kinds = [sum(c in k for c in chars) for k in (quality.SYMBOLS, string.ascii_uppercase, string.digits, ".,;:!?", "!")]
+        return [len(w), len(chars), kinds[0], len(lines) - len(set(lines)), len(covered), len(set(w)), *[k / max(len(chars), 1) for k in kinds[1:4]], kinds[4] / max(len(w), 1)]
+
+    s = quality.statistics(F.col("text"))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").select("i", s.alias("s")).collect()
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "distinct_words", "capitals", "digits", "punctuation", "exclamations"]
+    for r in rows:
+        want = brute(texts[r["i"]])
+        want[5] /= max(want[0], 1)
+        assert [r["s"][k] for k in names] == pytest.approx(want), texts[r["i"]]
+
+
 def test_quality_without_labels(spark):
     data = quality.with_labels(edge_docs(spark), spark.createDataFrame([], "doc_id long, quality int"))
     rules = quality.fit(data)
