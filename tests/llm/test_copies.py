@@ -153,6 +153,29 @@ def test_short_lines_count_by_their_exact_text(spark):
     assert lines.repeated_lines(docs).count() == 0 and lines.dedup_lines(docs).count() == 3
 
 
+def test_only_shared_line_keys_are_gathered(spark):
+    """Keys of one line, also of one that comes several times, are told by 32 bits; no
+    key that two lines have is missed, however small the filter."""
+    rng = random.Random(9)
+    content = [[rng.randrange(1 << 32) for _ in range(rng.choice([5, 7, 9, 12, 17, 30, 60]))] for _ in range(3000)]
+    content += [[*c[:-1], 7] for c in content[:300]]
+    blobs = [np.array(c, "<u4") for c in content]
+    rows = spark.createDataFrame([(i, b.tobytes()) for i, b in enumerate(blobs)], "id long, words binary")
+    owner, keys = lines.line_keys(np.concatenate(blobs), np.array([len(b) for b in blobs]))
+    found, n = np.unique(keys, return_counts=True)
+    shared = found[n > 1]
+    assert len(shared) > 1000
+    kept = lines.shared_keys(rows, 8)
+    assert kept.held(shared).all() and kept.held(found[n == 1]).mean() < 0.1
+    tight = lines.SharedKeys(kept.bits, [], 8)
+    assert not tight.held(found).any()
+    bits, lines.FILTER_BITS = lines.FILTER_BITS, 1 << 12
+    try:
+        assert lines.shared_keys(rows, 8).held(shared).all()
+    finally:
+        lines.FILTER_BITS = bits
+
+
 def test_hot_line_keys_are_searched_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(lines, "SMALL", 2)
     monkeypatch.setattr(lines, "BUCKET", 8)
