@@ -23,3 +23,15 @@ def test_words_outside_a_large_vocabulary_are_not_joined(spark, monkeypatch):
     got = {(r["k"], r["term"]): r["weight"] for r in tfidf.transform(docs, "k", "text", vocab).collect()}
     assert set(got) == {(1, "w1"), (1, "w2"), (3, "w3")}
     assert abs(got[1, "w1"] - 2 / 13**0.5) < 1e-9 and got[3, "w3"] == 1
+
+
+def test_a_transform_writes_only_what_the_vocabulary_may_have(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "red fox " + " ".join(f"unseen{i} other{i}" for i in range(200))), (2, "red hen"), (None, "red fox"), (3, "none here")], "k int, text string")
+    vocab = spark.createDataFrame([("red", 2, 1.5), ("fox", 1, 2.0), ("red fox", 1, 3.0), ("hen", 9, None)], "term string, df long, idf double")
+    written = []
+    monkeypatch.setattr(tfidf, "materialize", lambda df, name: written.append(df.count()) or df)
+    got = {(r["k"], r["term"]): r["weight"] for r in tfidf.transform(docs, "k", "text", vocab).collect()}
+    assert sum(written) < 150  # of some 1,200 n-grams; a small filter lets some by
+    norm = (1.5**2 + 2**2 + 3**2) ** 0.5
+    want = {(1, "red"): 1.5 / norm, (1, "fox"): 2 / norm, (1, "red fox"): 3 / norm, (2, "red"): 1.0}
+    assert got.keys() == want.keys() and all(abs(got[k] - w) < 1e-12 for k, w in want.items())
