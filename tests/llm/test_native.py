@@ -123,6 +123,13 @@ def test_statistics_of_marks_blanks_and_repeated_windows(spark):
         assert [r["s"][k] for k in names] == pytest.approx(want), texts[r["i"]]
 
 
+def test_statistics_look_up_only_the_few_counted_characters(spark):
+    """A translation looks up every character of its text, so none takes a whole one."""
+    plan = spark.createDataFrame([("a",)], "text string").select(quality.statistics(F.col("text")))
+    plan = plan._jdf.queryExecution().analyzed().toString()
+    assert "regexp_replace(coalesce(text" in plan and "translate(coalesce(text" not in plan
+
+
 def test_quality_without_labels(spark):
     data = quality.with_labels(edge_docs(spark), spark.createDataFrame([], "doc_id long, quality int"))
     rules = quality.fit(data)
